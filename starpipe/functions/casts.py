@@ -1,4 +1,9 @@
-"""Casts that turn bad values into null, independent of the session's ANSI setting."""
+"""Casts that turn bad values into null, independent of the session's ANSI setting.
+
+A failing `try_cast` costs an exception, thousands of times a good one. Text is therefore
+matched against the shape its target needs first, and only text that fits is cast; what fits
+and still fails (an overflow, a 30th of February) is left to `try_cast`.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +11,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A whole number with an optional fraction, which is cut off: "1", "-2", "1.0", "1.9".
-_NUMBER_TEXT = r"^\s*([+-]?\d+)(?:\.\d*)?\s*$"
+# A whole number with an optional fraction, which is cut off: "1", " -2 ", "1.0", "1.9".
+_WHOLE = r"^\s*[+-]?\d+(\.\d*)?\s*$"
+# The starts of the other texts Spark's own casts accept.
+_STARTS = {
+    "double": r"(?i)^\s*[+-]?(\.?\d|nan|inf)",
+    "timestamp": r"^\s*([+-]?\d|T)",
+    "timestamp_ntz": r"^\s*([+-]?\d|T)",
+    "date": r"^\s*[+-]?\d",
+}
 
 
 def text_to_int(text: Column) -> Column:
-    """Plain integers take the fast cast; only what it refuses is matched as a decimal."""
-    whole = F.regexp_extract(text, _NUMBER_TEXT, 1).try_cast("int")
-    return F.coalesce(text.try_cast("int"), F.when(text.isNotNull(), whole))
+    return F.when(text.rlike(_WHOLE), F.substring_index(text, ".", 1).try_cast("int"))
 
 
 def tolerant_cast(column: Column, source: T.DataType, target: str) -> Column:
-    if isinstance(source, T.StringType) and target == "int":
-        return text_to_int(column)
     if source.simpleString() == target:
         return column
+    if isinstance(source, T.StringType):
+        if target == "int":
+            return text_to_int(column)
+        if target in _STARTS:
+            return F.when(column.rlike(_STARTS[target]), column.try_cast(target))
     return column.try_cast(target)
 
 

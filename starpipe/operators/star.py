@@ -38,6 +38,10 @@ class Lookup:
     take: Mapping[str, str] = field(default_factory=dict)
     large: bool = False  # known to be too big to broadcast, so not measured
 
+    def source(self) -> tuple:
+        """What is read of which table, whatever the new names."""
+        return id(self.dim), self.key, tuple(self.take)
+
     def projection(self) -> DataFrame:
         return self.dim.select(F.col(self.key).alias("__key"), *[
             F.col(c).alias(name) for c, name in self.take.items()
@@ -46,19 +50,25 @@ class Lookup:
 
 def measure(frames: Sequence[DataFrame]) -> list[tuple[int, int]]:
     """Rows and bytes of each frame, all in one job; strings count their own length."""
-    def one(position: int, df: DataFrame) -> DataFrame:
-        width = F.lit(0).cast("long")
-        for f in df.schema.fields:
-            text = isinstance(f.dataType, (T.StringType, T.BinaryType))
-            size = F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if text else F.lit(0)
-            width = width + size + F.lit(16)
-        return df.select(width.alias("w")).agg(
-            F.lit(position).alias("i"), F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum("w"), F.lit(0)).alias("b"),
-        )
+    def widths(position: int, df: DataFrame) -> DataFrame:
+        texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields
+                 if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+        width = reduce(lambda a, b: a + b, texts, F.lit(16 * len(df.columns)))
+        return df.select(F.lit(position).alias("i"), width.cast("long").alias("w"))
+
+    every = reduce(DataFrame.unionAll, [widths(i, f) for i, f in enumerate(frames)])
+    rows = every.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).collect()
+    found = {r["i"]: (r["n"], r["b"]) for r in rows}
+    return [found.get(i, (0, 0)) for i in range(len(frames))]
+
 
-    rows = reduce(DataFrame.unionByName, [one(i, f) for i, f in enumerate(frames)]).collect()
-    return [(r["n"], r["b"]) for r in sorted(rows, key=lambda r: r["i"])]
+def small_lookups(lookups: Sequence[Lookup]) -> list[Lookup]:
+    """Those that fit a broadcast. A table used in several roles is measured once."""
+    frames: dict[tuple, DataFrame] = {}
+    for x in lookups:
+        frames.setdefault(x.source(), x.projection())
+    sizes = dict(zip(frames, measure(list(frames.values())))) if frames else {}
+    return [x for x in lookups if fits_broadcast(sizes[x.source()])]
 
 
 def fits_broadcast(sizes: tuple[int, int]) -> bool:
@@ -84,13 +94,17 @@ def hot_keys(fact: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[ob
     }
 
 
-def _spread_join(fact: DataFrame, lookup: Lookup, hot: list[tuple[object, float]]) -> DataFrame:
-    """Shuffled left join on (key, salt). Only frequent keys get more than one salt."""
+def _merge_join(fact: DataFrame, lookup: Lookup, hot: list[tuple[object, float]]) -> DataFrame:
+    """Shuffled left join. Frequent keys, null among them, are spread over several salts."""
+    dim = lookup.projection().where(F.col("__key").isNotNull())
+    if not hot:
+        dim = one_row_per_key(dim, ["__key"]).hint("merge")
+        return fact.join(dim, F.col(lookup.on) == F.col("__key"), "left").drop("__key")
+
     spark = fact.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     widths = [(k, max(2, math.ceil(share * tasks))) for k, share in hot if k is not None]
-    dim = lookup.projection().where(F.col("__key").isNotNull())
-    left = fact
+    left, names = fact, dim.columns
     width = F.lit(1)
     if widths:
         schema = T.StructType([T.StructField("__hot", fact.schema[lookup.on].dataType),
@@ -99,15 +113,13 @@ def _spread_join(fact: DataFrame, lookup: Lookup, hot: list[tuple[object, float]
         width = F.coalesce(F.col("__width"), F.lit(1))
         dim = dim.join(frequent, F.col("__key") == F.col("__hot"), "left")
         left = left.join(frequent, F.col(lookup.on) == F.col("__hot"), "left")
-    copies = F.explode(F.sequence(F.lit(0), width - 1)) if widths else F.lit(0)
-    names = ["__key", *lookup.take.values()]
-    dim = one_row_per_key(dim.select(*names, copies.alias("__copy")), ["__key", "__copy"])
+    copies = F.explode(F.sequence(F.lit(0), width - 1)).alias("__copy")
+    dim = one_row_per_key(dim.select(*names, copies), ["__key", "__copy"]).hint("merge")
     # A null key matches nothing, so it may go anywhere.
     spots = F.when(F.col(lookup.on).isNull(), F.lit(tasks)).otherwise(width)
     left = left.select(*fact.columns, F.pmod(F.col(_SLOT), spots).cast("int").alias("__salt"))
     match = (F.col(lookup.on) == F.col("__key")) & (F.col("__salt") == F.col("__copy"))
-    joined = left.join(dim.hint("merge"), match, "left")
-    return joined.drop("__salt", "__key", "__copy")
+    return left.join(dim, match, "left").drop("__salt", "__key", "__copy")
 
 
 def star_join(
@@ -123,16 +135,12 @@ def star_join(
     for lookup in lookups:
         if lookup.on not in fact.columns:
             raise ValueError(f"{lookup.on} is not a column of the fact")
-    unmeasured = [] if strategy == "merge" else [x for x in lookups if not x.large]
-    small = []
-    if unmeasured:
-        sizes = measure([x.projection() for x in unmeasured])
-        small = [x for x, size in zip(unmeasured, sizes) if fits_broadcast(size)]
+    small = [] if strategy == "merge" else small_lookups([x for x in lookups if not x.large])
 
     out = fact
     spread = sorted({x.on for x in lookups if x not in small})
     hot = hot_keys(fact, spread) if spread else {}
-    if spread:
+    if any(hot.values()):
         # Numbered before any shuffle, so a recomputed task gives each row the same salt.
         out = out.withColumn(_SLOT, F.monotonically_increasing_id())
     for lookup in lookups:
@@ -140,5 +148,5 @@ def star_join(
             dim = F.broadcast(one_row_per_key(lookup.projection(), ["__key"]))
             out = out.join(dim, F.col(lookup.on) == F.col("__key"), "left").drop("__key")
         else:
-            out = _spread_join(out, lookup, hot[lookup.on])
+            out = _merge_join(out, lookup, hot[lookup.on])
     return out.drop(_SLOT)
