@@ -123,19 +123,22 @@ def _merge_join(fact: DataFrame, lookup: Lookup, hot: list[tuple[object, float]]
 
 
 def star_join(
-    fact: DataFrame, lookups: Sequence[Lookup], strategy: str = "auto"
+    fact: DataFrame, lookups: Sequence[Lookup], strategy: str = "auto", measured: bool = False
 ) -> DataFrame:
     """Attach all lookups, each on a column of the fact itself.
 
     `auto` broadcasts what fits, `merge` shuffles every one. A second-level dimension is
-    attached to its own parent first.
+    attached to its own parent first. With `measured` all lookups are already known to fit.
     """
     if strategy not in ("auto", "merge"):
         raise ValueError(f"unknown strategy: {strategy}")
     for lookup in lookups:
         if lookup.on not in fact.columns:
             raise ValueError(f"{lookup.on} is not a column of the fact")
-    small = [] if strategy == "merge" else small_lookups([x for x in lookups if not x.large])
+    if measured:
+        small = list(lookups)
+    else:
+        small = [] if strategy == "merge" else small_lookups([x for x in lookups if not x.large])
 
     out = fact
     spread = sorted({x.on for x in lookups if x not in small})

@@ -13,12 +13,13 @@ SINGLE_WRITER_ROWS = 5_000_000
 def spread(df: DataFrame, files: int | None) -> DataFrame:
     """Decide the number of output files.
 
-    None lets adaptive execution size them, splitting large and joining small partitions.
-    One file means one writer task, so it is kept to results of counted, bounded size; a
-    larger result is sized adaptively instead. The plan before the write stays parallel.
+    None writes what the tasks hold, one file each and without a shuffle: the steps here
+    neither filter nor multiply, so files come out in proportion to the splits read. One file
+    means one writer task, so it is kept to results of counted, bounded size, and a larger
+    result stays as its tasks hold it.
     """
     if files is None or (files == 1 and not single_writer_ok(df)):
-        return df.hint("rebalance")
+        return df
     return df.repartition(files)
 
 
@@ -52,15 +53,17 @@ def write_layer(
     return path
 
 
-def replace_months(df: DataFrame, path: str, *, codec: str = "snappy") -> None:
+def replace_months(
+    df: DataFrame, path: str, *, codec: str = "snappy", one_month: bool = False
+) -> None:
     """Replace, in a table folder partitioned by month, just the months that `df` has.
 
-    Rebalancing by month gives each month few files and splits a month too large for one
-    task.
+    Rows of many months are rebalanced by month first: each month gets few files, and a
+    month too large for one task is split. Rows known to be of one month need no shuffle.
     """
-    (df.hint("rebalance", "year", "month").write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").option("compression", codec)
-       .partitionBy("year", "month").parquet(path))
+    out = df if one_month else df.hint("rebalance", "year", "month")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("compression", codec).partitionBy("year", "month").parquet(path))
 
 
 def write_dictionary(df: DataFrame, path: str) -> None:

@@ -65,7 +65,7 @@ def load_month(
         df = spark.read.parquet(staging)
     try:
         rows = require_loadable(df, year, month, flag, allowed, foreign_keys)
-        replace_months(stamp(df), path)
+        replace_months(stamp(df), path, one_month=True)
     finally:
         if staging:
             remove_folder(spark, staging)
