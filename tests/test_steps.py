@@ -122,7 +122,7 @@ import sys
 from starpipe.session import build_session
 spark = build_session("logged", "local[2]", event_log_dir="file://" + sys.argv[1],
                       extra={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
-spark.range(1000).selectExpr("length(id) AS k").groupBy("k").count().write.format("noop").mode("overwrite").save()
+spark.range(1000).selectExpr("xxhash64(id) AS k").groupBy("k").count().write.format("noop").mode("overwrite").save()
 print("APP", spark.sparkContext.applicationId)
 spark.stop()
 """
