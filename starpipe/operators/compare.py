@@ -136,9 +136,10 @@ def totals_vs_base(
     """Total of each experiment against a named one; no rows if the base is missing."""
     rows = bench.where(F.col("step").isin(*steps)) if steps else bench
     totals = rows.groupBy("experiment_id").agg(F.sum("wall_sec").alias("sec"))
-    reference = totals.where(F.col("experiment_id") == base).select(F.col("sec").alias("base_sec"))
-    # One row at most: a group key compared with one value.
-    both = totals.crossJoin(F.broadcast(reference))
+    # A group key equal to one value: one row at most, so a scalar subquery serves.
+    reference = totals.where(F.col("experiment_id") == base).select(F.struct("sec"))
+    both = totals.select("*", reference.scalar().alias("base")).where(F.col("base").isNotNull())
+    both = both.withColumn("base_sec", F.col("base.sec"))
     return both.select(
         "experiment_id",
         rounded(F.col("sec"), 3).alias(value),

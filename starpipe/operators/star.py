@@ -123,12 +123,17 @@ def _merge_join(fact: DataFrame, lookup: Lookup, hot: list[tuple[object, float]]
 
 
 def star_join(
-    fact: DataFrame, lookups: Sequence[Lookup], strategy: str = "auto", measured: bool = False
+    fact: DataFrame, lookups: Sequence[Lookup], strategy: str = "auto", *,
+    measured: bool = False, from_files: bool = True,
 ) -> DataFrame:
     """Attach all lookups, each on a column of the fact itself.
 
     `auto` broadcasts what fits, `merge` shuffles every one. A second-level dimension is
     attached to its own parent first. With `measured` all lookups are already known to fit.
+
+    Rows of a frequent key are spread by a row number. That number is the same when a lost
+    task runs again as long as the fact comes from files through projections and filters;
+    for any other fact set `from_files` to False, and a hash of the row is used instead.
     """
     if strategy not in ("auto", "merge"):
         raise ValueError(f"unknown strategy: {strategy}")
@@ -144,8 +149,8 @@ def star_join(
     spread = sorted({x.on for x in lookups if x not in small})
     hot = hot_keys(fact, spread) if spread else {}
     if any(hot.values()):
-        # Numbered before any shuffle, so a recomputed task gives each row the same salt.
-        out = out.withColumn(_SLOT, F.monotonically_increasing_id())
+        slot = F.monotonically_increasing_id() if from_files else F.xxhash64(*fact.columns)
+        out = out.withColumn(_SLOT, slot)  # before any shuffle
     for lookup in lookups:
         if lookup in small:
             dim = F.broadcast(one_row_per_key(lookup.projection(), ["__key"]))

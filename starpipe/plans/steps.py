@@ -176,7 +176,8 @@ def silver_quality(silver: DataFrame, spec: FactSpec = trips.TRIPS) -> DataFrame
     """All silver percentages and the duplicate percentage as one row."""
     shares = quality.rule_percentages(silver, trips.silver_rules())
     repeats = quality.duplicate_percentage(silver, spec.duplicate_keys)
-    return shares.crossJoin(repeats.select("duplicate_key_pct"))
+    duplicates = repeats.select("duplicate_key_pct").scalar()
+    return shares.select("*", duplicates.alias("duplicate_key_pct"))
 
 
 def join_quality(wide: DataFrame) -> DataFrame:

@@ -213,3 +213,13 @@ def test_event_log_of_a_missing_application(spark, tmp_path):
         record_source.read_event_log(spark, str(tmp_path), "app-0")).first().asDict()
     assert stats.pop("skew_factor") is None
     assert set(stats.values()) == {0}
+
+
+def test_files_are_sorted_each_by_itself(spark, tmp_path):
+    df = spark.range(1000).select(F.pmod(F.hash("id"), F.lit(997)).alias("k"), "id").repartition(3)
+    parquet.write_parquet(df, str(tmp_path / "s"), codec="zstd", sort_by=("k",))
+    files = list((tmp_path / "s").glob("*.zstd.parquet"))
+    assert len(files) == 3
+    for file in files:
+        keys = [r["k"] for r in spark.read.parquet(str(file)).collect()]
+        assert keys == sorted(keys)

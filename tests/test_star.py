@@ -113,3 +113,9 @@ def test_empty_sides(spark, skewed, dim):
     for strategy in ("auto", "merge"):
         assert star_join(skewed, [lookup], strategy).where("name IS NULL").count() == 9000
         assert star_join(skewed.limit(0), [lookup], strategy).count() == 0
+
+
+def test_spread_by_content_for_a_shuffled_fact(skewed, dim):
+    fact = skewed.repartition(5)
+    out = star_join(fact, [Lookup(dim, "k", "key", {"name": "name"})], "merge", from_files=False)
+    assert {tuple(r) for r in out.select("id", "k", "name").collect()} == expected(skewed)
