@@ -18,8 +18,16 @@ def build_session(
     event_log_dir: str | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session in UTC. With `event_log_dir` it writes an uncompressed event log there."""
-    builder = SparkSession.builder.appName(app_name).config("spark.sql.session.timeZone", "UTC")
+    """A session in UTC. With `event_log_dir` it writes an uncompressed event log there.
+
+    Recording the call site of every column expression is off: plans of many columns are
+    built from library code here, and it takes longer than the plans themselves.
+    """
+    builder = (
+        SparkSession.builder.appName(app_name)
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master)
     if event_log_dir:
