@@ -65,6 +65,14 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes:
     return df.join(F.broadcast(small) if small_enough(small, row_bytes) else small.hint("merge"), on, how)
 
 
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About `rows` rows of a stored `df` by a hash of `key`, or all if there are fewer; no sort."""
+    total, grain = df.count(), 1_000_000
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(grain)) < max(1, grain * rows // total))
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str,
                 limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that `column` holds about `limit` bytes in each."""

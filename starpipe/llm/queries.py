@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starpipe.llm import mixing, packing
+from starpipe.llm import language, mixing, packing, quality, substring
 from starpipe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,13 +20,28 @@ def query(function, sql: str | None = None):
     return function
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+query(op1_substring_dedup, substring.SQL)
 query(op3_source_mixing, mixing.SQL)
+query(op5_quality_rules)
+query(op7_language_id)
 query(op8_packing)
