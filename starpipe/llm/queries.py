@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starpipe.llm import language, mixing, packing, quality, substring
+from starpipe.llm import language, mixing, packing, quality, secrets, substring, urls
 from starpipe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,10 @@ def op1_substring_dedup(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan_documents(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,9 @@ def op8_packing(spark, sf_dir):
 
 
 query(op1_substring_dedup, substring.SQL)
+query(op2_url_filter)
 query(op3_source_mixing, mixing.SQL)
 query(op5_quality_rules)
+query(op6_secret_scan)
 query(op7_language_id)
 query(op8_packing)
