@@ -57,12 +57,20 @@ def small_enough(df: DataFrame, row_bytes: int) -> bool:
 
 
 def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
-    """Join `df` to a stored table: broadcast below the bounds, else a sort-merge join.
+    """Join `df` to a stored summary (a row per source or the like): broadcast below the bounds,
+    else as `merge_lookup`."""
+    if small_enough(small, row_bytes):
+        return df.join(F.broadcast(small), on, how)
+    return merge_lookup(df, small, on, how)
 
-    Beyond the bounds both sides are exchanged by the key and adaptive execution splits keys
-    that hold many rows of `df`; `small` has one row per key.
+
+def merge_lookup(df: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join `df` to a table that grows with it and has one row per key.
+
+    Both sides are exchanged by the key whatever their size; adaptive execution splits keys that
+    hold many rows of `df`.
     """
-    return df.join(F.broadcast(small) if small_enough(small, row_bytes) else small.hint("merge"), on, how)
+    return df.join(other.hint("merge"), on, how)
 
 
 def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:

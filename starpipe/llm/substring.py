@@ -15,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starpipe.llm.common import byte_slices, lookup, python_tasks, stored
+from starpipe.llm.common import byte_slices, merge_lookup, python_tasks, stored
 
-DIGEST_BYTES = 64
-SPANS_BYTES = 256
 UNITS = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.int32())])
 CLEANED = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()),
                      ("removed", pa.string()), ("text", pa.string())])
@@ -89,7 +87,7 @@ def removals(docs: DataFrame, units: Units = Units()) -> DataFrame:
     place = F.struct("doc_id", "unit")
     first = stored(rows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("unit").alias("n"))
                    .where("n > 1").select("high", "low", "first"), "line-first")
-    later = lookup(rows, first, ["high", "low"], "inner", DIGEST_BYTES).where(~place.eqNullSafe(F.col("first")))
+    later = merge_lookup(rows, first, ["high", "low"], "inner").where(~place.eqNullSafe(F.col("first")))
     return stored(later.groupBy("doc_id").agg(F.collect_set("unit").alias("drop")), "line-removals")
 
 
@@ -106,7 +104,7 @@ def remove_repeats(docs: DataFrame, units: Units = Units()) -> DataFrame:
     gone = removals(narrow, units).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key"), "drop")
     keyed = narrow.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    joined = lookup(keyed, gone, ["key"], "left", SPANS_BYTES).select("doc_id", "text", "drop")
+    joined = merge_lookup(keyed, gone, ["key"], "left").select("doc_id", "text", "drop")
     return joined.mapInArrow(_clean(units), "doc_id long, n_units long, n_removed long, removed string, text string")
 
 
