@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starpipe.llm import language, mixing, packing, quality, secrets, substring, urls
+from starpipe.llm import language, mixing, packing, quality, secrets, substring, topk, urls
 from starpipe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,10 @@ def op3_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op8_packing(spark, sf_dir):
 query(op1_substring_dedup, substring.SQL)
 query(op2_url_filter)
 query(op3_source_mixing, mixing.SQL)
+query(op4_topk_search, topk.SQL)
 query(op5_quality_rules)
 query(op6_secret_scan)
 query(op7_language_id)
