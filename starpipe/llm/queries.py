@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starpipe.llm import language, mixing, packing, quality, secrets, substring, topk, urls
+from starpipe.llm import jaccard, language, mixing, packing, quality, secrets, substring, topk, urls
 from starpipe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 query(op1_substring_dedup, substring.SQL)
 query(op2_url_filter)
 query(op3_source_mixing, mixing.SQL)
@@ -60,3 +64,4 @@ query(op5_quality_rules)
 query(op6_secret_scan)
 query(op7_language_id)
 query(op8_packing)
+query(op9_jaccard_join)
