@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starpipe.llm import jaccard, language, mixing, packing, quality, secrets, substring, topk, urls
+from starpipe.llm import jaccard, language, mixing, packing, quality, secrets, substring, suffixes, topk, urls
 from starpipe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,10 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 query(op1_substring_dedup, substring.SQL)
 query(op2_url_filter)
 query(op3_source_mixing, mixing.SQL)
@@ -65,3 +69,4 @@ query(op6_secret_scan)
 query(op7_language_id)
 query(op8_packing)
 query(op9_jaccard_join)
+query(op10_suffix_dedup)
