@@ -323,3 +323,24 @@ def linked(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
     full = merge_lookup(of_kind.where("n > 0 AND doc_id IS NOT NULL"), named_reps, ["high", "low"], "inner")
     rest = of_kind.where("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     return full.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
+    """The rows of `docs` without those linked to a smaller doc_id; rows without doc_id stay.
+
+    Of rows that share a doc_id one stays. Only rows that may be affected are exchanged: at most
+    `slots` slots of affected ids are broadcast, and rows outside them pass as they are.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(config.slots))
+    groups = linked(docs, config).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("component_id") != F.col("doc_id")).alias("__drop"), F.count("doc_id").alias("__rows"))
+    affected = stored(groups.where("__drop OR __rows > 1").withColumnRenamed("doc_id", "__id"), "jaccard-affected")
+    slots = F.broadcast(affected.select(F.pmod(F.xxhash64("__id"), F.lit(config.slots)).alias("__slot")).distinct())
+    placed = docs.withColumn("__slot", slot)
+    sure = placed.join(slots, "__slot", "left_anti").select(*docs.columns)
+    maybe = placed.join(slots, "__slot", "left_semi")
+    judged = maybe.join(affected.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left").where(
+        "NOT coalesce(__drop, false)")
+    single = judged.where("coalesce(__rows, 1) = 1").select(*docs.columns)
+    shared = judged.where("__rows > 1").dropDuplicates(["__id"]).select(*docs.columns)
+    return sure.unionByName(single).unionByName(shared)

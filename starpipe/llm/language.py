@@ -208,6 +208,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return narrow.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text has a language with at least the score `least`; all columns stay."""
+    python_tasks(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in byte_slices(batches, "text", shared.value.config.slice_bytes):
+            langs, score = judge(batch.column("text").to_pylist(), shared.value)
+            yield batch.filter(pa.array([x != UNDETERMINED and y >= least for x, y in zip(langs, score)]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out():
     """Whether a document is kept from training; a null doc_id is neither trained on nor held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

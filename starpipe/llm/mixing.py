@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starpipe.llm.common import WORD, lookup, stored
@@ -29,15 +29,23 @@ class Mixture:
     level_bits: int = 12
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source key, size and a 60-bit hash of id and text; a null source has the key `-`."""
+def content_hash() -> Column:
+    """60 bits of id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-")).alias("key"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def source_key() -> Column:
+    """A null source has the key `-`."""
+    return F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-"))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, source key, size and hash of each row."""
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("key"),
+                       size.cast("long").alias("size"), content_hash().alias("h"))
 
 
 def source_targets(sizes: DataFrame, mixture: Mixture) -> DataFrame:
@@ -103,9 +111,26 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     rows = stored(measured(docs), "mix-sizes")
     limits = thresholds(rows, source_targets(rows.select("key", "size"), mixture), mixture)
     joined = lookup(rows, limits, ["key"], "left", KEY_BYTES)
-    extra = (F.col("h") < F.col("last_hash")) | ((F.col("h") == F.col("last_hash")) & F.col("take_last"))
-    return joined.select("doc_id", "size", "source_size", "target", (
-        F.col("size") * (F.col("copies") + F.coalesce(extra, F.lit(False)).cast("long"))).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("h"))).alias("taken"))
+
+
+def times(h: Column) -> Column:
+    """How often a document of hash `h` is taken, next to its source's thresholds."""
+    extra = (h < F.col("last_hash")) | ((h == F.col("last_hash")) & F.col("take_last"))
+    return F.col("copies") + F.coalesce(extra, F.lit(False)).cast("long")
+
+
+def mixed_rows(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; all columns stay, texts are not exchanged."""
+    rows = stored(measured(docs), "mix-sizes")
+    limits = thresholds(rows, source_targets(rows.select("key", "size"), mixture), mixture).select(
+        F.col("key").alias("__key"), F.struct("copies", "last_hash", "take_last").alias("__limit"))
+    keyed = docs.withColumn("__key", source_key()).withColumn("__h", content_hash())
+    joined = lookup(keyed, limits, ["__key"], "inner", KEY_BYTES)
+    extra = (F.col("__h") < F.col("__limit.last_hash")) | (
+        (F.col("__h") == F.col("__limit.last_hash")) & F.col("__limit.take_last"))
+    often = F.col("__limit.copies") + F.coalesce(extra, F.lit(False)).cast("long")
+    return joined.select("*", F.explode(F.array_repeat(F.lit(1), often.cast("int"))).alias("__copy")).select(*docs.columns)
 
 
 #: The same by sorting: every source's documents in hash order, up to the nearest end.

@@ -2,7 +2,8 @@
 
 Patterns give the base spans. Two first-order character models, one of random strings and one of
 ordinary identifiers, score further tokens by their log-likelihood ratio. Random strings are
-labelled by the base patterns, identifiers are words of documents without a base span. Both
+labelled by the base patterns, identifiers are words of documents without a base span; both
+come from a bounded sample of documents. Both
 models together are one array of a fixed length, written into the plan as a literal; everything
 is DataFrame expressions.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starpipe.llm.common import bounded_sample, stored
+from starpipe.llm.common import bounded_sample
 
 #: Patterns and least lengths, in the order in which kinds are listed. Fixed values.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,9 +34,10 @@ IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{5,}"
 
 @dataclass(frozen=True)
 class Scan:
-    """`samples` bounds the labelled documents of either kind; `odds` is the log prior to overcome."""
+    """`sample` bounds the documents that label samples for training, taken by a hash of doc_id;
+    `odds` is the log prior to overcome."""
 
-    samples: int = 4000
+    sample: int = 20_000
     least: int = 16
     odds: float = 12.0
     smoothing: float = 0.5
@@ -73,21 +75,23 @@ def _kind(text: Column, gate: str, pattern: str, kind: int, value=None, least: i
     return F.when(text.rlike(gate), held).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scanned(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """doc_id, base spans and candidate tokens of each row; stored, so texts are read once.
+def _texts(docs: DataFrame, *others) -> DataFrame:
+    return docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def scanned(texts: DataFrame, scan: Scan) -> DataFrame:
+    """The rows with base spans and candidate tokens of their text.
 
     The shorter patterns with the least length built in match the same: a hex run or an access
     key always extends as far as it can, so a match that is too short holds no longer one.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.col("text")
     hexes, access = f"[0-9a-f]{{{HEX_LEAST},}}", f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
     token = f"(?<!{TOKEN}){TOKEN}{{{scan.least},}}"
-    return stored(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.concat(
-            _kind(text, ASSIGN, ASSIGN, 0, lambda hit: F.regexp_extract(hit, ASSIGN, 1), ASSIGN_LEAST),
-            _kind(text, access, access, 1), _kind(text, hexes, hexes, 2)).alias("base"),
-        _kind(text, token, token, 3).alias("tokens")), "secret-spans")
+    return texts.select("*", F.concat(
+        _kind(text, ASSIGN, ASSIGN, 0, lambda hit: F.regexp_extract(hit, ASSIGN, 1), ASSIGN_LEAST),
+        _kind(text, access, access, 1), _kind(text, hexes, hexes, 2)).alias("__base"),
+        _kind(text, token, token, 3).alias("__tokens"))
 
 
 def _codes(value: Column) -> Column:
@@ -105,28 +109,43 @@ def _pairs(codes: Column) -> Column:
                       lambda a, b: a * len(ALPHABET) + b)
 
 
-def train(docs: DataFrame, rows: DataFrame, scan: Scan = Scan()) -> list[float]:
+def train(docs: DataFrame, scan: Scan = Scan()) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random over ordinary.
 
     Counts of at most 2 * 67^2 pairs reach the driver. Without samples of a kind its model is
     uniform.
     """
-    flagged = stored(rows.where(F.size("base") > 0).select("doc_id", "base"), "secret-labelled")
-    random = bounded_sample(flagged, scan.samples, "doc_id").select(F.explode("base.value").alias("value"))
-    clean = bounded_sample(rows.where(F.size("base") == 0).select("doc_id"), scan.samples, "doc_id").distinct()
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clean, "doc_id", "left_semi")
-    ordinary = words.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
-    counted = [df.select(F.lit(k).alias("kind"), F.explode(_pairs(_codes(F.col("value")))).alias("pair"))
-               .groupBy("kind", "pair").agg(F.count("pair").alias("n")) for k, df in enumerate((random, ordinary))]
+    sample = bounded_sample(_texts(docs, "doc_id"), scan.sample, "doc_id")
+    rows = scanned(sample, scan)
+    value = F.when(F.size("__base") > 0, F.col("__base.value")).otherwise(
+        F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))
+    labelled = rows.select((F.size("__base") == 0).cast("int").alias("kind"), F.explode(value).alias("value"))
     size = len(ALPHABET)
     counts = [[scan.smoothing] * (size * size) for _ in range(2)]
-    for r in counted[0].unionByName(counted[1]).collect():
+    for r in labelled.select("kind", F.explode(_pairs(_codes(F.col("value")))).alias("pair")).groupBy("kind", "pair").agg(
+            F.count("pair").alias("n")).collect():
         counts[r["kind"]][r["pair"]] += r["n"]
     totals = [[sum(c[a * size:(a + 1) * size]) for a in range(size)] for c in counts]
     return [math.log(counts[0][p] / totals[0][p // size]) - math.log(counts[1][p] / totals[1][p // size])
             for p in range(size * size)]
 
 
+def with_spans(texts: DataFrame, model: list[float], scan: Scan = Scan()) -> DataFrame:
+    """Adds __base and __spans, both ordered, to rows with a text that is not null."""
+    ratio = F.split(F.lit(",".join(f"{w:.6f}" for w in model)), ",").cast("array<double>")
+    likely = F.filter("__tokens", lambda t: (F.aggregate(
+        _pairs(_codes(t["value"])), F.lit(0.0), lambda total, p: total + F.get(ratio, p)) > scan.odds)
+        & ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+    def order(a, b):
+        return F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"])), -1).when(
+            (a["start"] == b["start"]) & (a["kind"] == b["kind"]), 0).otherwise(1)
+
+    rows = scanned(texts, scan)
+    both = rows.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), likely), order))
+    return both.withColumn("__base", F.array_sort("__base", order)).drop("__tokens")
+
+
 def scan_documents(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind, value) of each row of `docs` (doc_id, text).
 
@@ -134,16 +153,27 @@ def scan_documents(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     kind. A null text is empty and has no spans; repeated rows are scanned each for itself; other
     columns are not read; no documents give no rows.
     """
-    rows = scanned(docs, scan)
-    ratio = F.split(F.lit(",".join(f"{w:.6f}" for w in train(docs, rows, scan))), ",").cast("array<double>")
-    likely = F.filter("tokens", lambda t: (F.aggregate(
-        _pairs(_codes(t["value"])), F.lit(0.0), lambda total, p: total + F.get(ratio, p)) > scan.odds)
-        & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    order = lambda a, b: F.when(
-        (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"])), -1).when(
-        (a["start"] == b["start"]) & (a["kind"] == b["kind"]), 0).otherwise(1)
-    return rows.select("doc_id", F.array_sort("base", order).alias("base"), F.array_sort(
-        F.concat(F.col("base"), likely), order).alias("spans"))
+    texts = _texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    return with_spans(texts, train(docs, scan), scan).select(
+        "doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+
+
+def redacted(docs: DataFrame, mark: str = "[secret]", scan: Scan = Scan()) -> DataFrame:
+    """The rows of `docs` with every span of their text replaced by `mark`; all columns stay."""
+    text = F.col("text")
+    rows = with_spans(docs.withColumn("text", F.coalesce(text, F.lit(""))).withColumn("__null", text.isNull()),
+                      train(docs, scan), scan)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(done, span):
+        kept = F.substr(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.when(
+            span["start"] < done["at"], done["out"]).otherwise(F.concat(done["out"], kept, F.lit(mark))).alias("out"))
+
+    cut = F.aggregate("__spans", start, step, lambda done: F.concat(
+        done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    clean = F.when(F.col("__null"), F.lit(None)).when(F.size("__spans") > 0, cut).otherwise(text)
+    return rows.withColumn("text", clean).select(*docs.columns)
 
 
 def listed(spans: Column) -> Column:
