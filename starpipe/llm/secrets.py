@@ -2,8 +2,8 @@
 
 Patterns give the base spans. Two first-order character models, one of random strings and one of
 ordinary identifiers, score further tokens by their log-likelihood ratio. Random strings are
-labelled by the base patterns, identifiers are words of documents without a base span; both
-come from a bounded sample of documents. Both
+labelled by the base patterns, identifiers are words that recur in documents without a base
+span; both come from a bounded sample of documents. Both
 models together are one array of a fixed length, written into the plan as a literal; everything
 is DataFrame expressions.
 """
@@ -41,6 +41,7 @@ class Scan:
     least: int = 16
     odds: float = 12.0
     smoothing: float = 0.5
+    used: int = 3
 
 
 def _positions(text: Column, pattern: str) -> Column:
@@ -119,14 +120,25 @@ def train(docs: DataFrame, scan: Scan = Scan()) -> list[float]:
     rows = scanned(sample, scan)
     value = F.when(F.size("__base") > 0, F.col("__base.value")).otherwise(
         F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))
-    labelled = rows.select((F.size("__base") == 0).cast("int").alias("kind"), F.explode(value).alias("value"))
+    values = rows.select((F.size("__base") == 0).cast("int").alias("kind"), F.explode(value).alias("value"))
+    # Each value counts once; an identifier is ordinary if it is used again, as keys seldom are.
+    labelled = values.groupBy("kind", "value").agg(F.count("value").alias("n")).where(
+        (F.col("kind") == 0) | (F.col("n") >= scan.used))
     size = len(ALPHABET)
-    counts = [[scan.smoothing] * (size * size) for _ in range(2)]
+    counts = [[0] * (size * size) for _ in range(2)]
     for r in labelled.select("kind", F.explode(_pairs(_codes(F.col("value")))).alias("pair")).groupBy("kind", "pair").agg(
             F.count("pair").alias("n")).collect():
         counts[r["kind"]][r["pair"]] += r["n"]
-    totals = [[sum(c[a * size:(a + 1) * size]) for a in range(size)] for c in counts]
-    return [math.log(counts[0][p] / totals[0][p // size]) - math.log(counts[1][p] / totals[1][p // size])
+    random, ordinary = (_model(c, size, scan.smoothing) for c in counts)
+    return [math.log(a) - math.log(b) for a, b in zip(random, ordinary)]
+
+
+def _model(counts: list[int], size: int, smoothing: float) -> list[float]:
+    """Probability of each second character after each first; rare firsts lean on the seconds' own shares."""
+    second = [sum(counts[a * size + b] for a in range(size)) + smoothing for b in range(size)]
+    share = [n / sum(second) for n in second]
+    first = [sum(counts[a * size:(a + 1) * size]) for a in range(size)]
+    return [(counts[p] + size * smoothing * share[p % size]) / (first[p // size] + size * smoothing)
             for p in range(size * size)]
 
 
@@ -161,8 +173,8 @@ def scan_documents(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[secret]", scan: Scan = Scan()) -> DataFrame:
     """The rows of `docs` with every span of their text replaced by `mark`; all columns stay."""
     text = F.col("text")
-    rows = with_spans(docs.withColumn("text", F.coalesce(text, F.lit(""))).withColumn("__null", text.isNull()),
-                      train(docs, scan), scan)
+    filled = docs.withColumn("__null", text.isNull()).withColumn("text", F.coalesce(text, F.lit("")))
+    rows = with_spans(filled, train(docs, scan), scan)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done, span):
