@@ -30,9 +30,11 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_tax > 0.07 THEN NULL ELSE CAST(l_discount AS STRING) END AS trip_distance",
         "CASE WHEN l_linenumber = 5 THEN NULL ELSE concat(CAST(l_linenumber AS STRING), '.0') END "
         "AS RatecodeID",
-        "lower(l_returnflag) AS store_and_fwd_flag",
+        "CASE l_returnflag WHEN 'A' THEN 'y' ELSE lower(l_returnflag) END AS store_and_fwd_flag",
         "CAST(l_suppkey AS STRING) AS PULocationID",
-        "CASE WHEN l_tax < 0.01 THEN NULL ELSE CAST(l_partkey AS STRING) END AS DOLocationID",
+        "CASE WHEN l_tax < 0.01 THEN NULL "
+        "WHEN l_linenumber = 3 THEN CAST(l_partkey + 500000000 AS STRING) "
+        "ELSE CAST(l_partkey AS STRING) END AS DOLocationID",
         "CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_linenumber AS STRING) END "
         "AS Payment_Type",
         "CAST(l_extendedprice AS STRING) AS fare_amount",
@@ -41,6 +43,18 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landing_trips(spark: SparkSession, sf_dir: str, year: int, month: int) -> DataFrame:
+    """All raw trips with their pickup moved into one month, and the dropoff along with it."""
+    raw = raw_trips(spark, sf_dir)
+    day = F.coalesce(F.substring("tpep_dropoff_datetime", 9, 2), F.lit("01"))
+
+    def moved(column):
+        clock = F.coalesce(F.nullif(F.substring(column, 11, 9), F.lit("")), F.lit(" 00:00:00"))
+        return F.concat(F.lit(f"{year}-{month:02d}-"), day, clock)
+
+    return raw.withColumns({c: moved(c) for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")})
+
+
 def silver(spark: SparkSession, sf_dir: str, null_marker: str | None = None) -> DataFrame:
     return to_silver_rows(raw_trips(spark, sf_dir), trips.TRIPS, null_marker)
 
@@ -53,9 +67,8 @@ def zoneless(df: DataFrame) -> DataFrame:
 
 
 def raw_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as zones, twice under different names, one part type left out."""
-    part = table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'")
-    once = part.selectExpr("CAST(p_partkey AS STRING) AS LocationID", "p_brand AS Borough",
+    """Parts as zones, twice under different names."""
+    once = table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS STRING) AS LocationID", "p_brand AS Borough",
                            "p_name AS Zone", "p_type AS service_zone")
     return once.unionByName(once.withColumn("Zone", F.concat(F.lit("alias of "), "Zone")))
 

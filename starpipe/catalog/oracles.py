@@ -14,9 +14,10 @@ raw AS (SELECT
   CASE WHEN l_quantity > 45 THEN '' ELSE CAST(l_quantity AS VARCHAR) END AS passenger_count,
   CASE WHEN l_tax > 0.07 THEN NULL ELSE CAST(l_discount AS VARCHAR) END AS trip_distance,
   CASE WHEN l_linenumber = 5 THEN NULL ELSE concat(l_linenumber, '.0') END AS RatecodeID,
-  lower(l_returnflag) AS store_and_fwd_flag,
+  CASE l_returnflag WHEN 'A' THEN 'y' ELSE lower(l_returnflag) END AS store_and_fwd_flag,
   CAST(l_suppkey AS VARCHAR) AS PULocationID,
-  CASE WHEN l_tax < 0.01 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS DOLocationID,
+  CASE WHEN l_tax < 0.01 THEN NULL WHEN l_linenumber = 3 THEN CAST(l_partkey + 500000000 AS VARCHAR)
+       ELSE CAST(l_partkey AS VARCHAR) END AS DOLocationID,
   CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_linenumber AS VARCHAR) END AS Payment_Type,
   CAST(l_extendedprice AS VARCHAR) AS fare_amount,
   CAST(l_tax AS VARCHAR) AS mta_tax,
@@ -102,14 +103,24 @@ EXPORT = f"""WITH {SILVER} SELECT {_EXPORT_REST},
 READ_BACK = f"""WITH {SILVER} SELECT {_EXPORT_REST}, pickup_ts, dropoff_ts,
   'run1' AS load_src, {_EXPORT_HASH} AS row_hash FROM silver"""
 
+LANDED = RAW.replace("raw AS (SELECT", "raw0 AS (SELECT", 1) + """,
+raw AS (SELECT * REPLACE (
+  '2021-01-' || coalesce(substr(tpep_dropoff_datetime, 9, 2), '01')
+    || coalesce(nullif(substr(tpep_pickup_datetime, 11, 9), ''), ' 00:00:00') AS tpep_pickup_datetime,
+  '2021-01-' || coalesce(substr(tpep_dropoff_datetime, 9, 2), '01')
+    || coalesce(nullif(substr(tpep_dropoff_datetime, 11, 9), ''), ' 00:00:00') AS tpep_dropoff_datetime)
+FROM raw0)
+"""
+LANDED_SILVER = SILVER.replace(RAW, LANDED)
+
 ZONES = """
 zones AS (
   SELECT CAST(p_partkey AS INT) AS zone_id, p_brand AS borough, p_name AS zone_name,
          p_type AS service_zone
-  FROM part WHERE p_type <> 'ECONOMY'
+  FROM part
   UNION ALL
   SELECT CAST(p_partkey AS INT), p_brand, 'alias of ' || p_name, p_type
-  FROM part WHERE p_type <> 'ECONOMY')
+  FROM part)
 """
 ZONE_KEYS = "SELECT zone_id, min(zone_name) AS zone_name, min(borough) AS borough FROM zones GROUP BY zone_id"
 
@@ -436,8 +447,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'store_flag', o_orderstatus, o_orderpriority FROM orders""",
     "zones_read": f"WITH {ZONES} SELECT * FROM zones",
     "dim_date": f"WITH {DATES} SELECT * FROM dates",
-    "file_and_partition_stats": """SELECT true AS a_file_per_partition, count(*) > 0 AS has_bytes,
-      count(*) AS rows_in FROM orders""",
+    "file_and_partition_stats": """SELECT CAST(3 AS BIGINT) AS files, CAST(3 AS BIGINT) AS partitions_in,
+      CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS key_bytes FROM orders""",
     "event_log_stats": """WITH t AS (
         SELECT *, CAST(props->>'$.k' AS BIGINT) AS k, CAST(round(value * 100) AS BIGINT) AS run
         FROM events)
@@ -508,7 +519,7 @@ ORACLES: dict[str, str] = {
       {", ".join(f"{_pct(c + ' IS NULL')} AS unmapped_{c}_pct" for c in UNMAPPED)},
       count(*) AS rows_total FROM wide""",
     "dq_load": f"""WITH {SILVER} SELECT {_rules(LOAD_RULES)}, count(*) AS rows_fact,
-      (SELECT CAST(count(*) AS INT) FROM lineitem) AS rows_export,
+      (SELECT count(*) FROM lineitem) AS rows_export,
       round(100.0::DOUBLE * abs((SELECT count(*) FROM lineitem) - count(*))
             / (SELECT count(*) FROM lineitem), 6) AS rowcount_mismatch_pct
       FROM silver WHERE pickup_ts IS NOT NULL""",
@@ -559,13 +570,45 @@ ORACLES: dict[str, str] = {
     "load_throughput": f"""WITH {MONTHLY}, parts AS (
         SELECT year, month, o_orderpriority, count(*) AS n,
           sum(CAST(o_totalprice AS DECIMAL(18,2))) AS mib,
-          count(*) FILTER (WHERE o_orderstatus = 'P') AS sec
+          count(*) FILTER (WHERE o_orderstatus = 'P') AS sec,
+          count(*) FILTER (WHERE o_orderstatus = 'F') AS filled
         FROM monthly GROUP BY year, month, o_orderpriority)
       SELECT year, month, CAST(sum(n) AS BIGINT) AS rows_loaded,
         CAST(sum(sec) AS BIGINT) AS copy_sec_sum, max(sec) AS copy_sec_max,
-        {_r("CAST(sum(mib) AS DOUBLE) / nullif(sum(sec), 0)", 6)} AS copy_throughput_mib_s,
-        {_r("CAST(sum(n) AS DOUBLE) / nullif(sum(sec), 0)", 6)} AS copy_throughput_rows_s
+        {_r("CAST(sum(mib) AS DOUBLE) / nullif(sum(filled), 0)", 6)} AS copy_throughput_mib_s,
+        {_r("CAST(sum(n) AS DOUBLE) / nullif(sum(filled), 0)", 6)} AS copy_throughput_rows_s
       FROM parts GROUP BY year, month""",
+    "text_casts": """SELECT l_orderkey, l_linenumber, CAST(trunc(CAST(l_tax AS DOUBLE)) AS INT) AS tax,
+        CAST(trunc(l_quantity) AS INT) AS quantity, CAST(NULL AS INT) AS flag FROM lineitem""",
+    "normalize_dates_from_date": f"""WITH {DATES} SELECT date_id, date, iso_week, iso_dow, is_weekend,
+        CAST(NULL AS BOOLEAN) AS is_month_start, is_month_end FROM dates
+      WHERE date IN (SELECT CAST(o_orderdate AS DATE) FROM orders)""",
+    "fk_two_dimensions": " UNION ALL ".join(
+        f"SELECT '{name}' AS foreign_key, count(*) AS violating_rows, count(DISTINCT {c}) AS violating_values "
+        f"FROM lineitem WHERE {c} NOT IN (SELECT {k} FROM {dim})" for c, name, dim, k in (
+            ("l_partkey", "part of a line", "part", "p_partkey"),
+            ("l_partkey", "part as a customer", "customer", "c_custkey"),
+            ("l_suppkey", "supplier of a line", "supplier", "s_suppkey"))),
+    "load_empty_month": f"WITH {MONTHLY} SELECT * FROM monthly WHERE NOT (year = 1998 AND month = 3)",
+    "gate_rerun": " UNION ALL ".join(
+        f"""SELECT 'exp1' AS experiment_id, 'manual' AS run_id, 'dq_orders' AS step, 1998 AS year, 3 AS month,
+        'pending_pct' AS rule, v AS value_num, CAST(0.5 AS DOUBLE) AS threshold,
+        CASE WHEN v > 0.5 THEN 'FAIL' ELSE 'OK' END AS status, CAST(NULL AS VARCHAR) AS details
+        FROM (SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE o_orderstatus = 'P') / count(*), 6) AS v
+              FROM orders WHERE {condition})""" for condition in ("true", "o_orderstatus <> 'P'")),
+    "pipe_bronze": f"WITH {LANDED} SELECT * REPLACE (nullif(passenger_count, '') AS passenger_count) FROM raw",
+    "pipe_silver": f"WITH {LANDED_SILVER} SELECT {SILVER_LIST} FROM silver",
+    "pipe_wide": f"WITH {WIDE.replace(RAW, LANDED)} SELECT {WIDE_LIST} FROM wide",
+    "pipe_load": READ_BACK.replace(RAW, LANDED).replace("'run1' AS load_src", "'exp1' AS load_src"),
+    "pipe_quality": f"""WITH {LANDED_SILVER}, {SILVER_QUALITY}, {EVALUATED}
+      SELECT step, rule, value_num, threshold, status FROM evaluated""",
+    "pipe_bench": f"""WITH n AS (SELECT count(*) AS n FROM lineitem)
+      SELECT 'exp1' AS experiment_id, 'manual' AS run_id, 'optimized' AS mode, step, 2021 AS year, 1 AS month,
+        n AS rows_in, n AS rows_out, true AS timed, true AS sized
+      FROM n, (SELECT unnest(['bronze', 'silver_prep', 'export', 'dwh_']) AS step)""",
+    "pipe_dims": f"""SELECT 'vendor' AS dimension, count(*) AS rows_total FROM supplier
+      UNION ALL SELECT 'ratecode', count(*) FROM nation UNION ALL SELECT 'payment_type', count(*) FROM region
+      UNION ALL SELECT 'dim_date', date_diff('day', DATE '{trips.CALENDAR_START}', DATE '{trips.CALENDAR_END}') + 1""",
     **{f"report_{name}": sql for name, sql in REPORTS.items()},
     "report_views": " UNION ALL ".join(
         f"SELECT * FROM ({_bench(view)} SELECT '{view}' AS view, count(*) AS rows_total, "
@@ -581,3 +624,4 @@ ORACLES: dict[str, str] = {
           AS INT) AS position_by_wall
       FROM walls""",
 }
+ORACLES["event_log_two_applications"] = ORACLES["event_log_stats"]

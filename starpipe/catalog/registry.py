@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starpipe import trips
 from starpipe.catalog import frames
+from starpipe.functions import casts
 from starpipe.operators import canonical, compare, constraints, dims, quality
 from starpipe.operators.star import Lookup, star_join
 from starpipe.plans import dashboards, steps
@@ -19,7 +22,7 @@ from starpipe.sinks import records as record_sink
 from starpipe.sinks import warehouse
 from starpipe.sources import dictionaries, landing, layers
 from starpipe.sources import records as record_source
-from starpipe.spec import Layout
+from starpipe.spec import GatePolicy, Layout, RunSettings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,15 +115,16 @@ def dim_date(spark, sf_dir):
 
 @query
 def file_and_partition_stats(spark, sf_dir):
-    """Orders written as their tasks hold them: a file of some bytes per non-empty partition."""
+    """Orders in three partitions and three files, and the bytes of a text file of their keys."""
     root = shared_folder(spark, "files")
     orders = frames.table(spark, sf_dir, "orders")
-    parquet_sink.write_parquet(orders, root)
-    stats = record_source.file_stats(spark.read.parquet(root)).select(F.struct("files", "bytes"))
-    sizes = record_source.partition_count(orders)
-    return sizes.select("*", stats.scalar().alias("written")).select(
-        (F.col("written.files") == F.col("partitions_in")).alias("a_file_per_partition"),
-        (F.col("written.bytes") > 0).alias("has_bytes"), "rows_in")
+    parquet_sink.write_parquet(orders, f"{root}/orders", files=3)
+    orders.select(F.col("o_orderkey").cast("string")).write.text(f"{root}/keys")
+    planned = record_source.partition_count(orders.repartition(3))
+    written = record_source.file_stats(spark, f"{root}/orders", ".parquet")
+    keys = record_source.file_stats(spark, f"{root}/keys", ".txt")
+    return written.select("files", F.lit(planned).cast("long").alias("partitions_in"),
+                          keys.select("bytes").scalar().alias("key_bytes"))
 
 
 @query
@@ -364,7 +368,7 @@ def dq_unmapped(spark, sf_dir):
 
 @query
 def dq_load(spark, sf_dir):
-    exported = F.lit(frames.table(spark, sf_dir, "lineitem").count())
+    exported = frames.table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n")).scalar()
     fact = frames.silver(spark, sf_dir).where(F.col("pickup_ts").isNotNull())
     return steps.load_quality(fact, exported)
 
@@ -472,24 +476,24 @@ def month_replace(spark, sf_dir):
     return spark.read.parquet(root)
 
 
-def _loaded(spark, sf_dir, staged):
+def _loaded(spark, sf_dir):
     root = shared_folder(spark, "fact")
     parquet_sink.replace_months(warehouse.stamp(frames.orders_by_month(spark, sf_dir)), root)
     customers = frames.table(spark, sf_dir, "customer")
     warehouse.load_month(
         _raised(spark, sf_dir), root, *MONTH, flag="o_orderstatus", allowed=("F", "O", "P"),
-        foreign_keys=[constraints.ForeignKey("o_custkey", customers, "c_custkey")], staged=staged)
+        foreign_keys=[constraints.ForeignKey("o_custkey", customers, "c_custkey")])
     return root
 
 
 @query
 def load_month(spark, sf_dir):
-    return spark.read.parquet(_loaded(spark, sf_dir, False)).drop("trip_id", "load_dt")
+    return spark.read.parquet(_loaded(spark, sf_dir)).drop("trip_id", "load_dt")
 
 
 @query
 def load_month_staged(spark, sf_dir):
-    table = spark.read.parquet(_loaded(spark, sf_dir, True))
+    table = spark.read.parquet(_loaded(spark, sf_dir))
     return table.groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("rows_total"), F.count_distinct("trip_id").alias("distinct_keys"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
@@ -573,13 +577,167 @@ def run_report(spark, sf_dir):
 
 @query
 def load_throughput(spark, sf_dir):
-    """Bytes and rows per second of each month's load, and its slowest and total part."""
+    """Bytes and rows per second of each month's load, and its slowest and total part.
+
+    The parts are the priorities; the wall time of the whole load is that of all its months' rows.
+    """
     orders = frames.orders_by_month(spark, sf_dir)
     parts = orders.groupBy("year", "month", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("mib"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("sec"))
-    return compare.load_rates(parts, ["year", "month"], rows="n", mib="mib", seconds="sec")
+        F.count_if(F.col("o_orderstatus") == "P").alias("sec"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("filled"))
+    whole = parts.withColumn("wall", F.sum("filled").over(Window.partitionBy("year", "month")))
+    return compare.load_rates(whole, ["year", "month"], rows="n", mib="mib", seconds="sec", wall="wall")
+
+
+@query
+def text_casts(spark, sf_dir):
+    """Fractions without a leading digit, with a sign and blanks, cut off to integers."""
+    lines = frames.table(spark, sf_dir, "lineitem")
+    tax = F.substring(F.col("l_tax").cast("string"), 2, 9)
+    text = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise(" "), tax)
+    return lines.select("l_orderkey", "l_linenumber", casts.text_to_int(text).alias("tax"),
+                        casts.text_to_int(F.col("l_quantity").cast("string")).alias("quantity"),
+                        casts.text_to_int(F.col("l_returnflag")).alias("flag"))
+
+
+@query
+def normalize_dates_from_date(spark, sf_dir):
+    """Order days with a weekday that counts from Sunday and a week of another kind."""
+    days = frames.table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("date"), F.dayofweek("o_orderdate").alias("day_of_week"),
+        F.lit(60).alias("week_of_year"))
+    return dims.normalize_dim_date(days)
+
+
+@query
+def fk_two_dimensions(spark, sf_dir):
+    """Three keys, two of them on one column."""
+    def key(column, name, dim, dim_key):
+        return constraints.ForeignKey(column, frames.table(spark, sf_dir, dim), dim_key, name)
+
+    return constraints.foreign_key_violations(frames.table(spark, sf_dir, "lineitem"), [
+        key("l_partkey", "part of a line", "part", "p_partkey"),
+        key("l_partkey", "part as a customer", "customer", "c_custkey"),
+        key("l_suppkey", "supplier of a line", "supplier", "s_suppkey")])
+
+
+@query
+def load_empty_month(spark, sf_dir):
+    """All months of orders, one of them loaded again without rows."""
+    root = shared_folder(spark, "fact")
+    orders = frames.orders_by_month(spark, sf_dir)
+    parquet_sink.replace_months(warehouse.stamp(orders), root)
+    warehouse.load_month(orders.where("false"), root, *MONTH, flag="o_orderstatus", allowed=("F", "O", "P"))
+    return spark.read.parquet(root).drop("trip_id", "load_dt")
+
+
+@query
+def gate_rerun(spark, sf_dir):
+    """A check that stops its run and the repaired one of the same run id, as stored."""
+    policy = GatePolicy({"dq_orders": {"pending_pct": 0.5}}, ("dq_orders",))
+    run = steps.Run(spark, Layout(shared_folder(spark, "gate"), "exp1"), *MONTH, policy=policy)
+    orders = frames.table(spark, sf_dir, "orders")
+    for rows in (orders, orders.where("o_orderstatus <> 'P'")):
+        share = rows.agg(F.round(100.0 * F.count_if(F.col("o_orderstatus") == "P") / F.count(F.lit(1)), 6).alias("pending_pct"))
+        with suppress(quality.QualityGateError):
+            steps.check(run, "dq_orders", share, ["pending_pct"])
+    return spark.read.parquet(run.table("dq_results")).drop("created_at")
+
+
+@query
+def event_log_two_applications(spark, sf_dir):
+    """The log of one application next to that of another whose name begins the same."""
+    root = shared_folder(spark, "eventlog")
+    lines = frames.event_log_lines(spark, sf_dir)
+    lines.write.text(f"{root}/app-1")
+    lines.limit(5).write.text(f"{root}/app-10")
+    return record_source.event_log_stats(record_source.read_event_log(spark, root, "app-1"))
+
+
+# --- The monthly steps ------------------------------------------------------------------
+
+TRIP_MONTH = (2021, 1)
+
+
+def _pipeline(spark, sf_dir, *names):
+    """A run over all line items as trips of one month, up to the named steps."""
+    layout = Layout(shared_folder(spark, "pipe"), "exp1", trial=1)
+    frames.landing_trips(spark, sf_dir, *TRIP_MONTH).write.option("header", True).csv(
+        f"{layout.root}/landing/trips/year={TRIP_MONTH[0]}/month={TRIP_MONTH[1]}")
+    run = steps.Run(spark, layout, *TRIP_MONTH, policy=GatePolicy(trips.GATE.limits, ()), settings=RunSettings(
+        shuffle_partitions=int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    actions = {
+        "bronze": lambda: steps.to_bronze(run, "trips"), "silver": lambda: steps.to_silver(run),
+        "wide": lambda: steps.to_wide(run), "export": lambda: steps.to_export(run)[1]}
+    if "wide" in names:
+        for name, dim in frames.dictionaries(spark, sf_dir).items():
+            parquet_sink.write_dictionary(dim, layout.dictionary(name))
+    return run, [actions[n]() for n in names][-1]
+
+
+@query
+def pipe_bronze(spark, sf_dir):
+    run, _ = _pipeline(spark, sf_dir, "bronze")
+    return run.layer("bronze")
+
+
+@query
+def pipe_silver(spark, sf_dir):
+    run, _ = _pipeline(spark, sf_dir, "bronze", "silver")
+    return frames.zoneless(run.layer("silver"))
+
+
+@query
+def pipe_wide(spark, sf_dir):
+    run, _ = _pipeline(spark, sf_dir, "bronze", "silver", "wide")
+    return frames.zoneless(run.layer("silver_wide"))
+
+
+@query
+def pipe_load(spark, sf_dir):
+    """Export and load of the month: the warehouse fact, without its stamps."""
+    run, export = _pipeline(spark, sf_dir, "bronze", "silver", "export")
+    steps.load(run, export)
+    return frames.zoneless(spark.read.parquet(run.table("fact_trips")).drop("trip_id", "load_dt"))
+
+
+@query
+def pipe_quality(spark, sf_dir):
+    """The checks of the silver layer, as stored."""
+    run, _ = _pipeline(spark, sf_dir, "bronze", "silver")
+    steps.check(run, "dq_silver", steps.silver_quality(run.layer("silver")), list(trips.GATE.limits["dq_silver"]))
+    return spark.read.parquet(run.table("dq_results")).select("step", "rule", "value_num", "threshold", "status")
+
+
+@query
+def pipe_bench(spark, sf_dir):
+    """What the steps of a run recorded of themselves in the bench table."""
+    run, export = _pipeline(spark, sf_dir, "bronze", "silver", "export")
+    steps.load(run, export)
+    return steps.bench_results(run).select(
+        "experiment_id", "run_id", "mode", F.regexp_replace("step", "^dwh_.*", "dwh_").alias("step"), "year",
+        "month", "rows_in", "rows_out", (F.col("wall_sec") > 0).alias("timed"), (F.col("bytes_out_mb") > 0).alias("sized"))
+
+
+@query
+def pipe_dims(spark, sf_dir):
+    """Dictionaries from CSV as Parquet and as dimension tables, rows of each."""
+    layout = Layout(shared_folder(spark, "dims"), "exp1")
+    database = "d_" + layout.root.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{layout.root}/tables'")
+    try:
+        named = {"vendor": ("supplier", "s_suppkey", "s_name"), "ratecode": ("nation", "n_nationkey", "n_name"),
+                 "payment_type": ("region", "r_regionkey", "r_name")}
+        for name, (table, key, text) in named.items():
+            frames.table(spark, sf_dir, table).select(key, text).write.option("header", True).csv(f"{layout.root}/csv/{name}")
+        steps.init_dimensions(spark, layout, {n: f"{layout.root}/csv/{n}" for n in named}, database=database)
+        counts = [spark.table(f"{database}.{n}").select(F.lit(n).alias("dimension")) for n in (*named, "dim_date")]
+        out = reduce(DataFrame.unionByName, counts).groupBy("dimension").agg(F.count(F.lit(1)).alias("rows_total"))
+        return spark.createDataFrame(out.collect(), out.schema)  # four rows; the tables go
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 # --- Reports -----------------------------------------------------------------------------

@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A whole number with an optional fraction, which is cut off: "1", " -2 ", "1.0", "1.9".
-_WHOLE = r"^\s*[+-]?\d+(\.\d*)?\s*$"
+# A number with an optional fraction, which is cut off: "1", " -2 ", "1.0", "1.9", "-.5".
+_WHOLE = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
 # The starts of the other texts Spark's own casts accept.
 _STARTS = {
     "double": r"(?i)^\s*[+-]?(\.?\d|nan|inf)",
@@ -23,7 +23,8 @@ _STARTS = {
 
 
 def text_to_int(text: Column) -> Column:
-    return F.when(text.rlike(_WHOLE), F.substring_index(text, ".", 1).try_cast("int"))
+    whole = F.substring_index(text, ".", 1)
+    return F.when(text.rlike(_WHOLE), F.when(whole.rlike(r"\d"), whole.try_cast("int")).otherwise(0))
 
 
 def tolerant_cast(column: Column, source: T.DataType, target: str) -> Column:

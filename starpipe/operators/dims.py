@@ -56,7 +56,8 @@ ISO_WEEK_NAMES = ("iso_week", "week_of_year")
 def conform_dim_date(df: DataFrame) -> DataFrame:
     """Date dimension from a date, a full date or year-month-day; the rest is derived.
 
-    A column that is given stays as given. Year, quarter, month and day appear only if the
+    Weekday and week follow from the date if there is one, and are taken as given otherwise; every
+    other column that is given stays as given. Year, quarter, month and day appear only if the
     source has them.
     """
     def given(names):
@@ -79,10 +80,16 @@ def conform_dim_date(df: DataFrame) -> DataFrame:
             raise ValueError(f"no date and no date id in {df.columns}")
         date_id = date_key(day)
     derived = calendar_columns(day) if day is not None else {}
-    iso_dow = given(ISO_DOW_NAMES)
-    iso_dow = iso_dow.try_cast("int") if iso_dow is not None else derived.get("iso_dow")
-    iso_week = given(ISO_WEEK_NAMES)
-    iso_week = iso_week.try_cast("int") if iso_week is not None else derived.get("iso_week")
+
+    def dated(names):
+        """The ISO column itself, else from the date, else under its other name."""
+        own, other = given(names[:1]), given(names[1:])
+        for value in (own, derived.get(names[0]), other):
+            if value is not None:
+                return value.try_cast("int")
+        return None
+
+    iso_dow, iso_week = dated(ISO_DOW_NAMES), dated(ISO_WEEK_NAMES)
     weekend = iso_dow >= 6 if iso_dow is not None else None
     start = parts[2].try_cast("int") == 1 if parts[2] is not None else None
     fallback = {"is_weekend": weekend, "is_month_start": start,

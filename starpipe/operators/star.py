@@ -19,8 +19,7 @@ from starpipe.operators.dims import one_row_per_key
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
-HOT_SHARE = 0.002  # a key above this share of the fact is spread
-TRACKED_KEYS = 10_000
+TRACKED_KEYS = 20  # by the frequency sketch, for each key that could be frequent
 
 _SLOT = "__slot"
 
@@ -63,33 +62,41 @@ def measure(frames: Sequence[DataFrame]) -> list[tuple[int, int]]:
 
 
 def small_lookups(lookups: Sequence[Lookup]) -> list[Lookup]:
-    """Those that fit a broadcast. A table used in several roles is measured once."""
+    """Those that fit a broadcast, smallest first and together; what is left over is shuffled.
+
+    A table used in several roles is measured once, but each role is broadcast.
+    """
     frames: dict[tuple, DataFrame] = {}
     for x in lookups:
         frames.setdefault(x.source(), x.projection())
     sizes = dict(zip(frames, measure(list(frames.values())))) if frames else {}
-    return [x for x in lookups if fits_broadcast(sizes[x.source()])]
-
-
-def fits_broadcast(sizes: tuple[int, int]) -> bool:
-    return sizes[0] <= BROADCAST_ROWS and sizes[1] <= BROADCAST_BYTES
+    rows = size = 0
+    small = []
+    for x in sorted(lookups, key=lambda x: sizes[x.source()][1]):
+        rows, size = rows + sizes[x.source()][0], size + sizes[x.source()][1]
+        if rows > BROADCAST_ROWS or size > BROADCAST_BYTES:
+            break
+        small.append(x)
+    return [x for x in lookups if x in small]
 
 
 def hot_keys(fact: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[object, float]]]:
-    """Keys holding more than HOT_SHARE of the fact, for all columns in one pass.
+    """Keys holding more than a task's fair share of the fact, for all columns in one pass.
 
-    A frequency sketch: it only steers the spreading, so its error cannot change a result.
-    At most 1/HOT_SHARE keys per column can qualify, which bounds what comes back.
+    A frequency sketch: it only steers the spreading, so its error cannot change a result. At
+    most as many keys per column as there are shuffle partitions can qualify, which bounds what
+    comes back.
     """
-    k = math.ceil(1 / HOT_SHARE)
+    tasks = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(TRACKED_KEYS * tasks, 1_000_000)
     row = fact.agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.expr(f"approx_top_k(`{c}`, {k}, {TRACKED_KEYS})").alias(c) for c in columns],
+        *[F.expr(f"approx_top_k(`{c}`, {tasks}, {tracked})").alias(c) for c in columns],
     ).first()
     total = row["__n"] or 1
     return {
         c: [(item["item"], item["count"] / total) for item in (row[c] or [])
-            if item["count"] > HOT_SHARE * total]
+            if item["count"] * tasks > total]
         for c in columns
     }
 

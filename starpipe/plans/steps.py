@@ -7,9 +7,12 @@ running the plan again.
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +24,16 @@ from starpipe.operators.canonical import replace_columns, to_export_rows, to_sil
 from starpipe.operators.constraints import ForeignKey, primary_key_violations
 from starpipe.operators.dims import conform_dim, conform_dim_date
 from starpipe.operators.star import Lookup, star_join
+from starpipe.session import applied
 from starpipe.sinks.csv import Export, export_csv, export_name
+from starpipe.sinks.files import folder_mib, part_files
 from starpipe.sinks.parquet import write_dictionary, write_layer
-from starpipe.sinks.records import append_rows, quality_rows
-from starpipe.sinks.warehouse import LoadReport, load_month
+from starpipe.sinks.records import append_rows, bench_rows, one_run, quality_rows
+from starpipe.sinks.warehouse import LoadReport, analyze, load_month, refresh_dimension, register
 from starpipe.sources.dictionaries import calendar_between, read_dictionary
 from starpipe.sources.landing import read_csv_text, read_landing
 from starpipe.sources.layers import read_dictionaries, read_layer
+from starpipe.sources.records import event_log_stats, partition_count, read_event_log
 from starpipe.spec import FactSpec, GatePolicy, Layout, RunSettings
 
 DICTIONARIES = ("zones", "payment_type", "ratecode", "vendor", "store_flag", "dim_date")
@@ -35,19 +41,20 @@ DICTIONARIES = ("zones", "payment_type", "ratecode", "vendor", "store_flag", "di
 
 @dataclass(frozen=True)
 class StepRecord:
-    """Metrics of one step."""
+    """Metrics of one step, named as the columns of the bench table; others become details."""
 
     step: str
     year: int
     month: int
+    rows_in: int | None = None
     rows_out: int | None = None
     wall_sec: float | None = None
     details: Mapping[str, object] = field(default_factory=dict)
 
-    def as_row(self) -> dict[str, object]:
-        return {"step": self.step, "year": self.year, "month": self.month,
-                "rows_in": self.rows_out, "rows_out": self.rows_out,
-                "wall_sec": self.wall_sec, **self.details}
+    def as_json(self) -> str:
+        return json.dumps({"step": self.step, "year": self.year, "month": self.month,
+                           "rows_in": self.rows_in, "rows_out": self.rows_out,
+                           "wall_sec": self.wall_sec, **self.details})
 
 
 @dataclass(frozen=True)
@@ -62,6 +69,8 @@ class Run:
     spec: FactSpec = trips.TRIPS
     policy: GatePolicy = trips.GATE
     run_id: str = "manual"
+    mode: str = "optimized"
+    event_log_dir: str | None = None
 
     def layer(self, name: str) -> DataFrame:
         return read_layer(self.spark, self.layout, name, self.year, self.month)
@@ -69,25 +78,71 @@ class Run:
     def table(self, name: str) -> str:
         return f"{self.layout.root.rstrip('/')}/warehouse/{name}"
 
+    def path(self, layer: str) -> str:
+        return self.layout.month(layer, self.year, self.month)
 
-def _write_step(run: Run, step: str, layer: str, df: DataFrame) -> StepRecord:
-    seen = Observation(step)
+
+def record_step(run: Run, done: StepRecord) -> StepRecord:
+    """Write a step's metrics next to its layers and append them to the bench table.
+
+    With an event log folder the statistics of the application so far come along.
+    """
+    extra = {}
+    if run.event_log_dir:
+        events = read_event_log(run.spark, run.event_log_dir, run.spark.sparkContext.applicationId)
+        extra = event_log_stats(events).first().asDict()
+    whole = replace(done, details={**done.details, **extra})
+    text = run.spark.createDataFrame([(whole.as_json(),)], "record string")
+    text.write.mode("overwrite").text(f"{run.path('metrics')}/{done.step}.json")
+    append_rows(bench_rows(text, run.layout.experiment, run.run_id, run.mode), run.table("bench_results"))
+    return whole
+
+
+def bench_results(run: Run) -> DataFrame:
+    """The bench rows of this run."""
+    return one_run(run.spark.read.parquet(run.table("bench_results")), run.layout.experiment, run.run_id,
+                   run.year, run.month)
+
+
+def _write_step(
+    run: Run, step: str, layer: str, source: DataFrame, change: Callable[[DataFrame], DataFrame],
+) -> StepRecord:
+    """Write `change(source)` as the step's layer; rows in and out are seen by the write itself."""
+    seen_in, seen_out = Observation(f"{step} in"), Observation(step)
+    planned = partition_count(source)
     started = time.monotonic()
-    path = write_layer(df, run.layout, layer, run.year, run.month, codec=run.settings.codec,
-                       files=run.settings.files_per_month, seen=seen)
+    counted = source.observe(seen_in, F.count(F.lit(1)).alias("rows"))
+    path = write_layer(change(counted), run.layout, layer, run.year, run.month, codec=run.settings.codec,
+                       files=run.settings.files_per_month, seen=seen_out)
     wall = round(time.monotonic() - started, 3)
-    return StepRecord(step, run.year, run.month, seen.get["rows"], wall, {"path": path})
+    return record_step(run, StepRecord(
+        step, run.year, run.month, seen_in.get["rows"], seen_out.get["rows"], wall, {
+            "path": path, "partitions_in": planned, "partitions_out_planned": run.settings.files_per_month or planned,
+            "files_out": len(part_files(run.spark, path, ".parquet")), "write_sec": wall,
+            "bytes_out_mb": folder_mib(run.spark, path)}))
 
 
+def _with_settings(step):
+    """The step under its run's settings."""
+    @wraps(step)
+    def inside(run: Run, *args, **kwargs):
+        with applied(run.spark, run.settings):
+            return step(run, *args, **kwargs)
+
+    return inside
+
+
+@_with_settings
 def to_bronze(run: Run, dataset: str, explicit: str | None = None) -> StepRecord:
     """Landing CSV to untyped Parquet."""
     raw = read_landing(run.spark, run.layout.root, dataset, run.year, run.month, explicit)
-    return _write_step(run, "bronze", "bronze", raw)
+    return _write_step(run, "bronze", "bronze", raw, lambda df: df)
 
 
+@_with_settings
 def to_silver(run: Run) -> StepRecord:
     """Bronze to the canonical, typed and flagged fact."""
-    return _write_step(run, "silver_prep", "silver", to_silver_rows(run.layer("bronze"), run.spec))
+    return _write_step(run, "silver_prep", "silver", run.layer("bronze"), lambda df: to_silver_rows(df, run.spec))
 
 
 def join_keys(fact: DataFrame) -> DataFrame:
@@ -130,27 +185,29 @@ def wide_rows(silver: DataFrame, dims: Mapping[str, DataFrame], strategy: str =
     return star_join(join_keys(silver), trip_lookups(dims), strategy)
 
 
+@_with_settings
 def to_wide(run: Run, overrides: dict[str, str] | None = None) -> StepRecord:
     """Silver decorated with all dimensions."""
     dims = read_dictionaries(run.spark, run.layout, DICTIONARIES, overrides)
     strategy = "auto" if run.settings.broadcast_small else "merge"
-    return _write_step(run, "silver_join", "silver_wide",
-                       wide_rows(run.layer("silver"), dims, strategy))
+    return _write_step(run, "silver_join", "silver_wide", run.layer("silver"),
+                       lambda df: wide_rows(df, dims, strategy))
 
 
+@_with_settings
 def to_export(run: Run) -> tuple[StepRecord, Export]:
     """Silver to canonical CSV."""
     started = time.monotonic()
     silver = run.layer("silver")
-    rows = to_export_rows(silver, run.spec, run.layout.experiment)
-    done = export_csv(rows, run.layout.month("export", run.year, run.month),
-                      export_name("fact_trips", run.year, run.month),
+    seen = Observation("export")
+    rows = to_export_rows(silver, run.spec, run.layout.experiment).observe(seen, F.count(F.lit(1)).alias("rows"))
+    done = export_csv(rows, run.path("export"), export_name("fact_trips", run.year, run.month),
                       run.settings.export_mode, run.settings.files_per_month)
     wall = round(time.monotonic() - started, 3)
     # The export neither filters nor multiplies; Parquet footers give the count.
-    record = StepRecord("export", run.year, run.month, silver.count(), wall,
-                        {"files_out": len(done.files)})
-    return record, done
+    record = StepRecord("export", run.year, run.month, silver.count(), seen.get["rows"], wall, {
+        "files_out": len(done.files), "write_sec": wall, "bytes_out_mb": folder_mib(run.spark, done.folder)})
+    return record_step(run, record), done
 
 
 def read_export(spark: SparkSession, folder: str, spec: FactSpec) -> DataFrame:
@@ -160,16 +217,28 @@ def read_export(spark: SparkSession, folder: str, spec: FactSpec) -> DataFrame:
     return text.select(*[F.col(c).cast(types[c]).alias(c) for c in spec.export])
 
 
+@_with_settings
 def load(run: Run, export: Export, dims: Mapping[str, DataFrame] | None = None) -> LoadReport:
-    """Exported CSV into the month of the warehouse fact; parts go through staging."""
+    """Exported CSV into the month of the warehouse fact, with rates and fresh statistics."""
     rows = read_export(run.spark, export.folder, run.spec)
     keys = []
     if dims:
         keys = [ForeignKey(x.on, x.dim, x.key) for x in trip_lookups(dims)
                 if x.on != run.spec.flag]
-    return load_month(rows, run.table("fact_trips"), run.year, run.month, flag=run.spec.flag,
-                      allowed=(*run.spec.flag_values, run.spec.flag_unknown),
-                      foreign_keys=keys, staged=len(export.files) > 1)
+    path = run.table("fact_trips")
+    done = load_month(rows, path, run.year, run.month, flag=run.spec.flag,
+                      allowed=(*run.spec.flag_values, run.spec.flag_unknown), foreign_keys=keys)
+    started = time.monotonic()
+    name = f"fact_{uuid.uuid4().hex}"
+    register(run.spark, name, path)
+    analyze(run.spark, name, *((run.year, run.month) if done.rows_loaded else ()))
+    run.spark.sql(f"DROP TABLE {name}")  # external: its files stay
+    report = done.record()
+    step = "dwh_parallel" if len(export.files) > 1 else "dwh_single"
+    record_step(run, StepRecord(step, run.year, run.month, done.rows_loaded, report.pop("rows_out"), report.pop("wall_sec"), {
+        **report, "files_in": len(export.files), "table_bytes_mb": done.mib,
+        "analyze_sec": round(time.monotonic() - started, 3)}))
+    return done
 
 
 def silver_quality(silver: DataFrame, spec: FactSpec = trips.TRIPS) -> DataFrame:
@@ -194,21 +263,24 @@ def load_quality(fact: DataFrame, exported_rows: Column) -> DataFrame:
 def check(run: Run, step: str, metrics: DataFrame, rules: Sequence[str]) -> DataFrame:
     """Evaluate one row of metrics, append the results, stop the run if the step is gated."""
     evaluated = quality.evaluate(quality.as_rules(metrics, rules), step, run.policy)
-    rows = quality_rows(evaluated, run.layout.experiment, run.run_id, run.year, run.month)
-    table = run.table("dq_results")
-    append_rows(rows, table)
-    stored = run.spark.read.parquet(table).where(
-        (F.col("experiment_id") == run.layout.experiment) & (F.col("run_id") == run.run_id)
-        & (F.col("step") == step) & (F.col("year") == run.year) & (F.col("month") == run.month))
-    quality.gate(stored, run.policy)
-    return stored
+    # A handful of rule rows: taken once, so that what is stored is what is judged, and an
+    # earlier attempt of the same run does not block a repaired one.
+    fresh = run.spark.createDataFrame(evaluated.collect(), evaluated.schema)
+    append_rows(quality_rows(fresh, run.layout.experiment, run.run_id, run.year, run.month),
+                run.table("dq_results"))
+    quality.gate(fresh, run.policy)
+    return fresh
 
 
 def init_dimensions(
     spark: SparkSession, layout: Layout, csv_paths: Mapping[str, str],
     first_day: str = trips.CALENDAR_START, last_day: str = trips.CALENDAR_END,
+    database: str | None = None,
 ) -> None:
-    """Dictionary CSVs and the calendar to Parquet, after checking their keys."""
+    """Dictionary CSVs and the calendar to Parquet, after checking their keys.
+
+    With `database` every dictionary is also reloaded as a dimension table of it.
+    """
     tables = {name: read_dictionary(spark, name, path) for name, path in csv_paths.items()}
     tables["dim_date"] = calendar_between(spark, first_day, last_day)
     broken = primary_key_violations([(n, t, t.columns[0]) for n, t in tables.items()])
@@ -217,3 +289,5 @@ def init_dimensions(
         raise ValueError(f"dimension keys are not unique: {[r['dimension'] for r in bad]}")
     for name, table in tables.items():
         write_dictionary(table, layout.dictionary(name))
+        if database is not None:
+            refresh_dimension(spark.read.parquet(layout.dictionary(name)), f"{database}.{name}")

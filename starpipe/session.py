@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -46,14 +48,29 @@ def build_session(
 
 def apply_settings(spark: SparkSession, settings: RunSettings) -> None:
     """Set the run's knobs on a live session; all of them are runtime settings."""
-    values = {
+    for key, value in _values(settings).items():
+        spark.conf.set(key, value)
+
+
+def _values(settings: RunSettings) -> dict[str, str]:
+    return {
         "spark.sql.adaptive.enabled": str(settings.aqe).lower(),
         "spark.sql.parquet.compression.codec": settings.codec,
         "spark.sql.shuffle.partitions": str(settings.shuffle_partitions),
         "spark.sql.files.maxPartitionBytes": str(settings.max_partition_bytes),
     }
-    for key, value in values.items():
-        spark.conf.set(key, value)
+
+
+@contextmanager
+def applied(spark: SparkSession, settings: RunSettings) -> Iterator[None]:
+    """The run's knobs inside the block; afterwards the session's own again."""
+    before = {key: spark.conf.get(key, None) for key in _values(settings)}
+    apply_settings(spark, settings)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 @cache

@@ -31,3 +31,17 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder this library wrote, such as a staging table after its load."""
     fs, target = _fs(spark, folder)
     fs.delete(target, True)
+
+
+def folder_mib(spark: SparkSession, folder: str) -> float:
+    """MiB of all files below a folder; 0 if there is none."""
+    fs, target = _fs(spark, folder)
+    return round(fs.getContentSummary(target).getLength() / 2**20, 6) if fs.exists(target) else 0.0
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if it is a file or missing."""
+    fs, target = _fs(spark, folder)
+    if not fs.exists(target) or not fs.getFileStatus(target).isDirectory():
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(target))

@@ -5,26 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from starpipe.sinks.files import remove_folder
 from starpipe.spec import Layout
 
-SINGLE_WRITER_ROWS = 5_000_000
-
-
 def spread(df: DataFrame, files: int | None) -> DataFrame:
     """Decide the number of output files.
 
     None writes what the tasks hold, one file each and without a shuffle: the steps here
-    neither filter nor multiply, so files come out in proportion to the splits read. One file
-    means one writer task, so it is kept to results of counted, bounded size, and a larger
-    result stays as its tasks hold it.
+    neither filter nor multiply, so files come out in proportion to the splits read. A number
+    is kept whatever the size: it is that many writer tasks by contract.
     """
-    if files is None or (files == 1 and not single_writer_ok(df)):
-        return df
-    return df.repartition(files)
-
-
-def single_writer_ok(df: DataFrame) -> bool:
-    return df.limit(SINGLE_WRITER_ROWS + 1).count() <= SINGLE_WRITER_ROWS
+    return df if files is None else df.repartition(files)
 
 
 def write_parquet(
@@ -54,18 +45,22 @@ def write_layer(
 
 
 def replace_months(
-    df: DataFrame, path: str, *, codec: str = "snappy", one_month: bool = False
+    df: DataFrame, path: str, *, codec: str = "snappy", month: tuple[int, int] | None = None
 ) -> None:
     """Replace, in a table folder partitioned by month, just the months that `df` has.
 
     Rows of many months are rebalanced by month first: each month gets few files, and a
-    month too large for one task is split. Rows known to be of one month need no shuffle.
+    month too large for one task is split. With `month` all rows are of that month: there is no
+    shuffle, and no rows leave the month empty.
     """
-    out = df if one_month else df.hint("rebalance", "year", "month")
+    out = df if month else df.hint("rebalance", "year", "month")
+    if month and df.isEmpty():
+        remove_folder(df.sparkSession, f"{path}/year={month[0]}/month={month[1]}")
+        return
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", codec).partitionBy("year", "month").parquet(path))
 
 
 def write_dictionary(df: DataFrame, path: str) -> None:
-    """One file if the dictionary is as small as dictionaries are."""
-    write_parquet(df, path, files=1)
+    """A dictionary as its tasks hold it."""
+    write_parquet(df, path)

@@ -4,43 +4,63 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starpipe.operators.constraints import ForeignKey, require_loadable
 from starpipe.session import shared_folder
-from starpipe.sinks.files import remove_folder
+from starpipe.sinks.files import folder_mib, remove_folder
 from starpipe.sinks.parquet import replace_months, write_parquet
 
-# A key is month number (12 bits), task (18 bits), row in task (33 bits).
+# A key is the month's number (12 bits) and the row's number (51 bits).
 _MONTH_SHIFT = 51
+_ROW_BITS = 33  # of monotonically_increasing_id, which has the task above them
 
 
 @dataclass(frozen=True)
 class LoadReport:
     rows_loaded: int
     wall_sec: float
-    staged: bool
+    mib: float = 0.0
 
     def record(self) -> dict[str, object]:
-        return asdict(self)
+        """The load as bench columns; rates are over the wall time of the whole load."""
+        rate = 1 / self.wall_sec if self.wall_sec else None
+        return {"rows_out": self.rows_loaded, "wall_sec": self.wall_sec, "bytes_out_mb": self.mib,
+                "copy_throughput_mib_s": rate and round(self.mib * rate, 6),
+                "copy_throughput_rows_s": rate and round(self.rows_loaded * rate, 6)}
 
 
-def surrogate_key(year: Column, month: Column) -> Column:
-    """A row number unique over all months, without reading the table or sorting."""
-    row = F.monotonically_increasing_id()
-    serial = (year - 1970) * 12 + month
-    fits = row < F.lit(1).cast("long") * (2**_MONTH_SHIFT)
-    key = F.shiftleft(serial.cast("long"), _MONTH_SHIFT) + row
-    return F.when(fits, key).otherwise(F.raise_error(F.lit("too many tasks for surrogate keys")))
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 0 without gaps, whatever the number of tasks.
+
+    `df` comes from files by projections, so that its tasks hold the same rows when they are
+    counted first. One row per task is summed up and broadcast.
+    """
+    at = df.withColumn(name, F.monotonically_increasing_id())
+    task = F.shiftright(name, _ROW_BITS).alias("__task")
+    counts = at.groupBy(task).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    placed = at.withColumn("__task", task).join(F.broadcast(starts), "__task")
+    row = F.col(name).bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col("__start")
+    return placed.select(*df.columns, row.alias(name))
+
+
+def surrogate_key(year: Column, month: Column, row: Column) -> Column:
+    """A key unique over all months from a row number unique within the month."""
+    serial = ((year - 1970) * 12 + month).cast("long")
+    fits = serial.between(0, (1 << 63 - _MONTH_SHIFT) - 1) & (row < F.lit(1 << _MONTH_SHIFT))
+    return F.when(fits, F.shiftleft(serial, _MONTH_SHIFT) + row).otherwise(
+        F.raise_error(F.lit("month or row number outside of what a surrogate key holds")))
 
 
 def stamp(df: DataFrame) -> DataFrame:
     """Add the surrogate key and the load time."""
-    return df.select(
-        surrogate_key(F.col("year"), F.col("month")).alias("trip_id"),
+    return numbered(df, "__row").select(
+        surrogate_key(F.col("year"), F.col("month"), F.col("__row")).alias("trip_id"),
         *[F.col(c) for c in df.columns],
         F.current_timestamp().alias("load_dt"),
     )
@@ -48,28 +68,26 @@ def stamp(df: DataFrame) -> DataFrame:
 
 def load_month(
     df: DataFrame, path: str, year: int, month: int, *, flag: str,
-    allowed: Sequence[str], foreign_keys: Sequence[ForeignKey] = (), staged: bool = False,
+    allowed: Sequence[str], foreign_keys: Sequence[ForeignKey] = (),
 ) -> LoadReport:
     """Check the month, then replace its partition; a violation leaves the table untouched.
 
-    `staged` writes the rows to a staging folder first, so that an expensive or changing
-    input is computed once and what was checked is what is loaded. Parquet has no
-    transactions: if the final write dies midway, load the month again.
+    The rows are staged first, so that the input is computed once and what was checked is what
+    is loaded. No rows leave the month empty. Parquet has no transactions: if the final write
+    dies midway, load the month again.
     """
     spark = df.sparkSession
     started = time.monotonic()
-    staging = None
-    if staged:
-        staging = shared_folder(spark, "staging")
-        write_parquet(df, staging)
-        df = spark.read.parquet(staging)
+    staging = shared_folder(spark, "staging")
     try:
-        rows = require_loadable(df, year, month, flag, allowed, foreign_keys)
-        replace_months(stamp(df), path, one_month=True)
+        write_parquet(df, staging)
+        staged = spark.read.schema(df.schema).parquet(staging)
+        rows = require_loadable(staged, year, month, flag, allowed, foreign_keys)
+        replace_months(stamp(staged), path, month=(year, month))
     finally:
-        if staging:
-            remove_folder(spark, staging)
-    return LoadReport(rows, round(time.monotonic() - started, 3), staged)
+        remove_folder(spark, staging)
+    wall = round(time.monotonic() - started, 3)
+    return LoadReport(rows, wall, folder_mib(spark, f"{path}/year={year}/month={month}"))
 
 
 def register(spark: SparkSession, table: str, path: str) -> None:

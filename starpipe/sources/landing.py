@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-MAX_MONTHS = 100_000  # months counted as small enough to broadcast
-
 
 def read_first(paths: Sequence[str], reader: Callable[[str], DataFrame]) -> DataFrame:
     """Read the first path Spark can list; the error names every path tried."""
@@ -71,13 +69,10 @@ def select_months(
 def new_months(incoming: DataFrame, landed: DataFrame, force: bool = False) -> DataFrame:
     """Rows of months not landed yet, or all of them when forced.
 
-    Both sides carry `year` and `month`. The landed side shrinks to its distinct months,
-    which are counted before they are broadcast: shuffling by so few keys would put a large
-    month into one task.
+    Both sides carry `year` and `month`. The landed side shrinks to its distinct months, twelve a
+    year, which are broadcast: shuffling by so few keys would put a large month into one task.
     """
     if force:
         return incoming
-    seen = landed.select("year", "month").distinct()
-    if seen.limit(MAX_MONTHS + 1).count() <= MAX_MONTHS:
-        seen = F.broadcast(seen)
+    seen = F.broadcast(landed.select("year", "month").distinct())
     return incoming.join(seen, ["year", "month"], "left_anti")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starpipe.functions.measures import MIB
+from starpipe.sinks.files import folder_names
 from starpipe.sources.landing import read_first
 
 # The part of the public event-log format the statistics need.
@@ -25,19 +26,23 @@ EVENT_SCHEMA = """
 
 
 def read_event_log(spark: SparkSession, log_dir: str, app_id: str) -> DataFrame:
-    """Event lines of one application, single file or rolling folder; none if it is missing.
+    """Event lines of exactly one application, single file or rolling folder; none if missing.
 
-    A line that is not JSON becomes a row of nulls and is dropped.
+    The exact name is taken, else the rolling folder of that name, else the one entry of the
+    folder that has the name as a whole, such as an attempt of it. A line that is not JSON
+    becomes a row of nulls and is dropped.
     """
-    root = log_dir.rstrip("/")
-    for path in (f"{root}/*{app_id}*/events_*", f"{root}/{app_id}*"):
-        try:
-            events = spark.read.schema(EVENT_SCHEMA).json(path)
-            return events.where(F.col("Event").isNotNull())
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
-                raise
-    return spark.createDataFrame([], EVENT_SCHEMA)
+    names = folder_names(spark, log_dir)
+    whole = re.compile(rf"(^|_){re.escape(app_id)}($|[_.])")
+    found = [n for n in (app_id, f"eventlog_v2_{app_id}") if n in names][:1] or [n for n in names if whole.search(n)]
+    if not found:
+        return spark.createDataFrame([], EVENT_SCHEMA)
+    if len(found) > 1:
+        raise ValueError(f"several logs of {app_id}: {found}")
+    path = f"{log_dir.rstrip('/')}/{found[0]}"
+    rolling = [n for n in folder_names(spark, path) if n.startswith("events_")]
+    events = spark.read.schema(EVENT_SCHEMA).json([f"{path}/{n}" for n in rolling] or path)
+    return events.where(F.col("Event").isNotNull())
 
 
 def event_log_stats(events: DataFrame) -> DataFrame:
@@ -88,21 +93,16 @@ def read_metric_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return read_first(paths, read)
 
 
-def file_stats(df: DataFrame) -> DataFrame:
-    """Files and bytes behind a file scan, from the scan's own metadata columns."""
-    files = df.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
-    ).distinct()
-    return files.agg(
+def file_stats(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Files and bytes below a folder, one row read per file and nothing of its content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length").where(F.col("path").endswith(suffix)).agg(
         F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.round(F.coalesce(F.sum("bytes"), F.lit(0)) / MIB, 3).alias("mib"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.round(F.coalesce(F.sum("length"), F.lit(0)) / MIB, 3).alias("mib"),
     )
 
 
-def partition_count(df: DataFrame) -> DataFrame:
-    """How many non-empty input partitions a plan reads, and how many rows."""
-    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(
-        F.count(F.lit(1)).alias("partitions_in"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in")
-    )
+def partition_count(df: DataFrame) -> int:
+    """How many input partitions a plan reads, as planned, without reading them."""
+    return df.rdd.getNumPartitions()

@@ -12,7 +12,7 @@ from starpipe.operators.constraints import LoadRejected
 from starpipe.session import shared_folder
 from starpipe.sinks import csv as csv_sink
 from starpipe.sinks import parquet, records, warehouse
-from starpipe.sources import landing, layers
+from starpipe.sources import dictionaries, landing, layers
 from starpipe.sources import records as record_source
 from starpipe.spec import Layout
 
@@ -82,21 +82,16 @@ def test_rerun_replaces_a_layer_month(spark, tmp_path):
     for n in (5, 3):
         path = parquet.write_layer(spark.range(n).toDF("id"), layout, "bronze", 2021, 1, files=2)
     assert spark.read.parquet(path).count() == 3
-    assert record_source.file_stats(spark.read.parquet(path)).first()["files"] == 2
+    assert record_source.file_stats(spark, path, ".parquet").first()["files"] == 2
 
 
-def test_one_file_only_within_the_bound_of_one_writer(spark, tmp_path, monkeypatch):
+def test_files_follow_the_argument_alone(spark, tmp_path):
     df = spark.range(100).repartition(4).toDF("id")
-
-    def files(path):
-        return record_source.file_stats(spark.read.parquet(path)).first()["files"]
-
-    parquet.write_parquet(df, str(tmp_path / "one"), files=1)
-    assert files(str(tmp_path / "one")) == 1
-    monkeypatch.setattr(parquet, "SINGLE_WRITER_ROWS", 50)
-    parquet.write_parquet(df, str(tmp_path / "many"), files=1)
-    assert files(str(tmp_path / "many")) == 4
-    assert spark.read.parquet(str(tmp_path / "many")).count() == 100
+    for files, want in ((1, 1), (2, 2), (None, 4)):
+        path = str(tmp_path / f"f{files}")
+        parquet.write_parquet(df, path, files=files)
+        assert record_source.file_stats(spark, path, ".parquet").first()["files"] == want
+        assert spark.read.parquet(path).count() == 100
 
 
 @pytest.mark.parametrize("mode, names", [
@@ -115,11 +110,7 @@ def test_csv_modes(spark, tmp_path, mode, names):
     assert not (tmp_path / "out.__parts").exists()
 
 
-def test_single_csv_beyond_the_bound_becomes_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(parquet, "SINGLE_WRITER_ROWS", 10)
-    done = csv_sink.export_csv(spark.range(50).toDF("id"), str(tmp_path), "t", "single_csv", 2)
-    assert done.mode == "parallel_parts" and len(done.files) == 2
-    assert landing.read_csv_text(spark, done.folder).count() == 50
+def test_unknown_csv_mode(spark, tmp_path):
     with pytest.raises(ValueError):
         csv_sink.export_csv(spark.range(1), str(tmp_path), "t", "zip")
 
@@ -130,15 +121,13 @@ def months(spark):
         [(i, 2021, 1 + i % 2, "Y") for i in range(10)], "id int, year int, month int, flag string")
 
 
-@pytest.mark.parametrize("staged", [False, True])
-def test_load_replaces_one_month_or_nothing(spark, tmp_path, months, staged):
+def test_load_replaces_one_month_or_nothing(spark, tmp_path, months):
     path = str(tmp_path / "fact")
     parquet.replace_months(warehouse.stamp(months), path)
     january = months.where("month = 1").withColumn("id", F.col("id") + 100)
 
     def load(df, month):
-        return warehouse.load_month(df, path, 2021, month, flag="flag", allowed=("Y", "N"),
-                                    staged=staged)
+        return warehouse.load_month(df, path, 2021, month, flag="flag", allowed=("Y", "N"))
 
     assert load(january, 1).rows_loaded == 5
     table = spark.read.parquet(path)
@@ -208,6 +197,32 @@ def test_report_texts(spark):
         ("s", "a", "2.000000", "1.0", "FAIL"), ("s", "b", "1.500000", "", "OK")]
 
 
+def test_an_empty_month_empties_the_table_month(spark, tmp_path, months):
+    path = str(tmp_path / "fact")
+    parquet.replace_months(warehouse.stamp(months), path)
+    done = warehouse.load_month(months.where("false"), path, 2021, 1, flag="flag", allowed=("Y",))
+    assert (done.rows_loaded, done.mib) == (0, 0.0)
+    assert {r["month"] for r in spark.read.parquet(path).collect()} == {2}
+
+
+def test_surrogate_keys_have_no_task_limit(spark):
+    """Row numbers are dense whatever the task, and months out of range are refused."""
+    rows = warehouse.numbered(spark.range(1000).repartition(7).toDF("id"), "row").collect()
+    assert sorted(r["row"] for r in rows) == list(range(1000))
+    key = warehouse.surrogate_key(F.lit(2021), F.lit(1), F.col("id"))
+    beyond = spark.range((1 << 51) - 1, 1 << 51).select(key.alias("k")).first()["k"]  # of task 2^18 and more before
+    assert beyond >> 51 == (2021 - 1970) * 12 + 1
+    for year, row in ((1969, 0), (2400, 0), (2021, 1 << 51)):
+        with pytest.raises(Exception, match="surrogate"):
+            spark.range(1).select(warehouse.surrogate_key(F.lit(year), F.lit(1), F.col("id") + F.lit(row))).collect()
+
+
+def test_zones_with_a_byte_order_mark(spark, tmp_path):
+    path = tmp_path / "zones.csv"
+    path.write_bytes(b"\xef\xbb\xbf" + b'"LocationID","Borough","Zone","service_zone"\n7,"B","Z, west","N/A"\n')
+    assert tuple(dictionaries.read_dictionary(spark, "zones", str(path)).first()) == (7, "B", "Z, west", "N/A")
+
+
 def test_event_log_of_a_missing_application(spark, tmp_path):
     stats = record_source.event_log_stats(
         record_source.read_event_log(spark, str(tmp_path), "app-0")).first().asDict()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -12,6 +13,7 @@ from starpipe import trips
 from starpipe.operators.constraints import LoadRejected
 from starpipe.operators.quality import QualityGateError
 from starpipe.plans import steps
+from starpipe.sinks.parquet import write_layer
 from starpipe.sources.layers import read_dictionaries
 from starpipe.spec import GatePolicy, Layout, RunSettings
 
@@ -110,6 +112,22 @@ def test_presets_differ_only_in_how(run):
         assert sorted(map(str, other.layer("silver_wide").collect())) == rows
 
 
+def test_steps_apply_their_settings_and_restore_them(run, monkeypatch):
+    seen = {}
+
+    def spy(df, spec):
+        seen.update({k: run.spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")})
+        return df
+
+    monkeypatch.setattr(steps, "to_silver_rows", spy)
+    before = run.spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(steps, "write_layer", lambda df, layout, layer, *a, **k: write_layer(df, Layout(
+        layout.root, "settings"), layer, *a, **k))
+    steps.to_silver(replace(run, settings=RunSettings(aqe=False, shuffle_partitions=17)))
+    assert seen == {"spark.sql.shuffle.partitions": "17", "spark.sql.adaptive.enabled": "false"}
+    assert run.spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_dimension_keys_are_checked(spark, tmp_path):
     path = tmp_path / "vendor.csv"
     path.write_text("vendor_id,vendor_name\n1,a\n1,b\n")
