@@ -5,8 +5,9 @@ enough share a token among the first few of each set in ANY global order of the
 prefixes are taken in two orders (both put known frequent tokens last, then by different
 hashes), and a pair is only compared if it shares prefix tokens in both. To find such pairs
 without listing them, the sets that share a prefix token are named by one of them, their centre;
-sets that meet under the same pair of centres form a unit, and the texts of a unit are joined
-locally. Large units are cut into blocks and every pair of blocks is solved by itself. A unit
+sets that meet under the same pair of centres form a unit. Parity bits of the sets, which bound their
+difference from below, leave those with a possible partner, and their texts are joined locally.
+Large units are cut into blocks and every pair of blocks is solved by itself. A unit
 gives a spanning forest of its links instead of all of them; components are found from those.
 """
 
@@ -28,7 +29,7 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 ORDER_SEEDS = (np.uint64(0), np.uint64(0xA5A5A5A5C3C3C3C3))
-SETS = pa.schema([(c, pa.int64()) for c in ("kind", "doc_id", "n", "high", "low")])
+SETS = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "n", "high", "low")), ("parity", pa.binary())])
 PREFIXES = pa.schema([("in_order", pa.int32()), ("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -38,7 +39,7 @@ class Similarity:
     """Sets of `words`-word shingles link when `of * intersection >= at_least * union`.
 
     `frequent` bounds the list of frequent tokens (it only affects the order, never a result),
-    `slots` the prefilter of candidate documents, `unit_words` the text of a block.
+    `slots` the prefilter of candidate documents, `unit_words` and `unit_sets` the size of a block.
     """
 
     words: int = 4
@@ -48,6 +49,7 @@ class Similarity:
     held: int = 1 << 22
     slots: int = 1 << 20
     unit_words: int = 1 << 20
+    unit_sets: int = 4096
 
     def overlap(self, n):
         """Least intersection of a set of n with a similar one."""
@@ -109,8 +111,8 @@ def _sets(config: Similarity):
         token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n > 2].view(np.int64), n[n > 2]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (np.ones(len(n), np.int64), token, n, np.zeros(len(n), np.int64), np.zeros(len(n), np.int64))],
-            schema=SETS)
+            [*(pa.array(c) for c in (np.ones(len(n), np.int64), token, n, *np.zeros((2, len(n)), np.int64))),
+             pa.nulls(len(n), pa.binary())], schema=SETS)
 
     def rows(batches):
         held, size, seen = [], 0, set()
@@ -119,12 +121,12 @@ def _sets(config: Similarity):
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(),
                                       shingle_sets(batch.column("text").to_pylist(), config.words)):
                 high, low = _key(tokens)
-                out.append((0, doc_id, len(tokens), high, low))
+                out.append((0, doc_id, len(tokens), high, low, signatures([tokens]).tobytes()))
                 if low not in seen:
                     seen.add(low)
                     held.append(tokens)
                     size += len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SETS)], schema=SETS)
             if size > config.held:
                 yield frequent(held)
                 held, size, seen = [], 0, set()
@@ -186,7 +188,7 @@ def centres(prefixes: DataFrame, config: Similarity) -> DataFrame:
 
 
 def units(met: DataFrame, config: Similarity) -> DataFrame:
-    """unit ids (c1, c2, left, right), set and side of the sets that meet in both orders.
+    """unit ids (c1, c2, one, two) of the sets that meet in both orders, with set and n.
 
     Units of the same members are taken once. A unit of more text than a block holds is cut by a
     hash of the set, and each pair of blocks becomes a unit of its own.
@@ -197,13 +199,13 @@ def units(met: DataFrame, config: Similarity) -> DataFrame:
     groups = both.groupBy("c1", "c2").agg(F.count("set").alias("members"), F.sum("n").alias("held"),
                                           F.expr("bit_xor(xxhash64(set))").alias("same")).where("members > 1")
     first = groups.groupBy("members", "held", "same").agg(F.min(F.struct("c1", "c2")).alias("id"))
-    blocks = F.ceil(F.col("held") / F.lit(config.unit_words)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("held") / config.unit_words, F.col("members") / config.unit_sets)).cast("int")
     chosen = first.select("id.c1", "id.c2", blocks.alias("blocks"))
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     member = merge_lookup(both, chosen, ["c1", "c2"], "inner").withColumn("mine", mine)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return member.withColumn("other", other).select(
-        "c1", "c2", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "set")
+        "c1", "c2", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "set", "n")
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,6 +216,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def possible(size: np.ndarray, parity: np.ndarray, i: int, others: np.ndarray, config: Similarity) -> np.ndarray:
+    """Those of `others` that sizes and parity bits do not rule out as similar to set `i`."""
+    whole = size[others] + size[i]
+    shared = (config.at_least * whole + config.at_least + config.of - 1) // (config.at_least + config.of)
+    differ = np.bitwise_count(parity[others] ^ parity[i]).sum(1)
+    return others[(config.of * np.minimum(size[others], size[i]) >= config.at_least * np.maximum(size[others], size[i]))
+                  & (differ <= whole - 2 * shared)]
+
+
+def _promising(config: Similarity):
+    """The sets of a unit that have a possible partner in it."""
+    def promising(unit: pa.Table) -> pa.Table:
+        unit = unit.take(pa.compute.sort_indices(unit.column("n")))
+        size = unit.column("n").to_numpy().astype(np.int64)
+        parity = np.frombuffer(b"".join(unit.column("parity").to_pylist()), np.uint64).reshape(len(size), -1)
+        keep = np.zeros(len(size), bool)
+        for i in range(len(size)):
+            # A neighbour in size is the likely partner; one found is enough for both.
+            others = np.arange(max(0, i - 1), min(len(size), i + 2))
+            found = possible(size, parity, i, others[others != i], config)
+            if not len(found) and not keep[i]:
+                low = np.searchsorted(size, -(-config.at_least * size[i] // config.of))
+                others = np.arange(low, np.searchsorted(size, config.of * size[i] // config.at_least, side="right"))
+                found = possible(size, parity, i, others[others != i], config)
+            keep[found] = True
+            keep[i] |= len(found) > 0
+        return unit.select(["c1", "c2", "one", "two", "set", "rep"]).filter(pa.array(keep))
+
+    return promising
+
+
 def links(sets: list[np.ndarray], config: Similarity) -> list[tuple[int, int]]:
     """A spanning forest of the similar pairs among distinct sets, exactly."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
@@ -223,11 +256,7 @@ def links(sets: list[np.ndarray], config: Similarity) -> list[tuple[int, int]]:
     parity = signatures(sets)
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        whole = size[others] + size[i]
-        shared = (config.at_least * whole + config.at_least + config.of - 1) // (config.at_least + config.of)
-        differ = np.bitwise_count(parity[others] ^ parity[i]).sum(1)
-        return others[(config.of * np.minimum(size[others], size[i]) >= config.at_least * np.maximum(size[others], size[i]))
-                      & (differ <= whole - 2 * shared)]
+        return possible(size, parity, i, others, config)
 
     def verify(i: int, j: int) -> None:
         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -296,7 +325,7 @@ def linked(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
     python_tasks(spark)
     narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     named = narrow.where("doc_id IS NOT NULL")
-    sets = stored(narrow.mapInArrow(_sets(config), "kind long, doc_id long, n long, high long, low long"), "jaccard-sets")
+    sets = stored(narrow.mapInArrow(_sets(config), "kind long, doc_id long, n long, high long, low long, parity binary"), "jaccard-sets")
     common = sets.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "token").limit(config.frequent).toArrow()
     token, count = (common.column(c).to_numpy() for c in ("token", "n"))
@@ -307,9 +336,10 @@ def linked(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
 
     of_kind = sets.where("kind = 0")
     reps = stored(of_kind.where("n > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(
-        F.min("doc_id").alias("rep")), "jaccard-classes")
-    member = stored(merge_lookup(units(met, config), reps.select(F.col("low").alias("set"), "rep"), ["set"], "inner"),
-                    "jaccard-units")
+        F.min("doc_id").alias("rep"), F.first("parity").alias("parity")), "jaccard-classes")
+    described = merge_lookup(units(met, config), reps.select(F.col("low").alias("set"), "rep", "parity"), ["set"], "inner")
+    member = stored(described.groupBy("c1", "c2", "one", "two").applyInArrow(
+        _promising(config), "c1 long, c2 long, one int, two int, set long, rep long"), "jaccard-units")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(config.slots))
     # At most `slots` rows are broadcast, whatever the number of candidates.
     wanted = F.broadcast(member.select(F.col("rep").alias("doc_id")).select(slot.alias("slot")).distinct())
