@@ -563,10 +563,11 @@ ORACLES: dict[str, str] = {
       CAST(NULL AS DOUBLE) AS skew_factor, details
       FROM records, (SELECT unnest(['run1', 'run2']) AS run_id)""",
     "run_report": f"""WITH {SILVER}, {SILVER_QUALITY}, {EVALUATED}
-      SELECT 'steps' AS part, event_type AS step, CAST(event_id AS VARCHAR) AS name,
-        CAST(value AS VARCHAR) AS value, '' AS threshold FROM events
-      UNION ALL SELECT 'rules', step, rule, printf('%.6f', value_num),
-        coalesce(CAST(threshold AS VARCHAR), '') FROM evaluated""",
+      SELECT 'steps' AS part, event_type AS step, '' AS name, CAST(event_id AS VARCHAR) AS rows_in,
+        '' AS rows_out, '' AS bytes_in_mb, '' AS bytes_out_mb, CAST(value AS VARCHAR) AS value,
+        '' AS threshold, '' AS status FROM events
+      UNION ALL SELECT 'rules', step, rule, '', '', '', '', printf('%.6f', value_num),
+        coalesce(CAST(threshold AS VARCHAR), ''), status FROM evaluated""",
     "load_throughput": f"""WITH {MONTHLY}, parts AS (
         SELECT year, month, o_orderpriority, count(*) AS n,
           sum(CAST(o_totalprice AS DECIMAL(18,2))) AS mib,

@@ -564,14 +564,16 @@ def run_report(spark, sf_dir):
     records = frames.metric_records(spark, sf_dir)
     record_sink.append_rows(record_sink.bench_rows(records, "exp1", "run1"), path)
     bench = record_sink.one_run(spark.read.parquet(path), "exp1", "run1", 2024, 1)
+    blank = F.lit("")
     steps_part = record_sink.bench_report(bench).select(
-        F.lit("steps").alias("part"), "step", F.col("rows_in").alias("name"),
-        F.col("wall_sec").alias("value"), F.col("bytes_in_mb").alias("threshold"))
+        F.lit("steps").alias("part"), "step", blank.alias("name"), "rows_in", "rows_out", "bytes_in_mb",
+        "bytes_out_mb", F.col("wall_sec").alias("value"), blank.alias("threshold"), blank.alias("status"))
     rows = record_sink.quality_rows(_evaluated(spark, sf_dir), "exp1", "run1", 2024, 1)
     rules_part = record_sink.quality_report(
         record_sink.one_run(rows, "exp1", "run1", 2024, 1)
-    ).select(F.lit("rules").alias("part"), "step", F.col("rule").alias("name"), "value",
-             "threshold")
+    ).select(F.lit("rules").alias("part"), "step", F.col("rule").alias("name"), blank.alias("rows_in"),
+             blank.alias("rows_out"), blank.alias("bytes_in_mb"), blank.alias("bytes_out_mb"), "value",
+             "threshold", "status")
     return steps_part.unionByName(rules_part)
 
 
