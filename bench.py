@@ -48,6 +48,8 @@ def dimensions(spark, sf_dir: str, layout: Layout) -> None:
 
     zones = frames.table(spark, sf_dir, "part").selectExpr(
         "CAST(p_partkey AS INT) AS zone_id", "p_brand AS borough", "p_name AS zone_name")
+    moved = zones.withColumn("zone_id", F.col("zone_id") + 500_000_000)  # the raw trips' unmapped keys
+    zones = zones.unionByName(moved)
     tables = {
         "zones": zones,
         "payment_type": known("payment_type", "payment_type_id", "description"),
