@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from starpipe.llm import jaccard, language, mixing, packing, secrets
 from starpipe.llm.common import stored, table
 
+#: Near duplicates of the corpus; the 4 words and 85 of 100 of `op9_jaccard_join` are that query's own.
+NEAR = jaccard.Similarity(words=5, at_least=80)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
@@ -15,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
