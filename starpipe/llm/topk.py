@@ -107,22 +107,25 @@ def _assign(search: Search, width: int, norm: float, pivots: np.ndarray):
     return rows
 
 
-def bounds(cells: DataFrame, search: Search, pivots: np.ndarray) -> dict[tuple[int, int], float]:
+def bounds(cells: DataFrame, asked: DataFrame, search: Search, pivots: np.ndarray) -> dict[tuple[int, int], float]:
     """Least distance to its pivot that data of a cell needs to be replicated to a query cell.
 
-    Read from at most one row per cell and `k + 1` distances of it. A missing pair is not joined.
+    Read from at most one row per cell and its `k + 1` nearest vec_ids: however many rows share the
+    vec_id of a query, k of those are answers to it. A missing pair is not joined.
     """
-    farthest = {r["cell"]: r["far"] for r in cells.where("query").groupBy("cell").agg(
-        F.max("distance").alias("far")).collect()}
-    near = cells.where("NOT query").groupBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(
-        F.slice(F.sort_array(F.collect_list("distance")), 1, search.k + 1).alias("near"))
+    farthest = {r["cell"]: r["far"] for r in asked.groupBy("cell").agg(F.max("distance").alias("far")).collect()}
+    once = cells.where("NOT query").groupBy("cell", "vec_id").agg(F.min("distance").alias("distance"))
+    near = once.groupBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))), 1, search.k + 1).alias("near"))
     kept = near.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, search.k + 1).alias("near"))
     nearest = {r["cell"]: r["near"] for r in kept.collect()}
     apart = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(-1))
     out = {}
     for i, reach in farthest.items():
-        within = sorted(apart[i, j] + d for j, ds in nearest.items() for d in ds)[:search.k + 1]
-        limit = reach + within[-1] if len(within) > search.k else np.inf
+        first: dict[int, float] = {}
+        for within, vec_id in sorted((apart[i, j] + d, vec_id) for j, ds in nearest.items() for d, vec_id in ds):
+            first.setdefault(vec_id, within)
+        limit = reach + list(first.values())[search.k] if len(first) > search.k else np.inf
         for j in nearest:
             # |q - x| >= |p_i - p_j| - |q - p_i| - |x - p_j|; the slack is for rounding.
             out[i, j] = apart[i, j] - reach - limit - 1e-6 * (1 + apart[i, j])
@@ -183,7 +186,8 @@ def top_k(embeddings: DataFrame, search: Search = Search()) -> DataFrame:
     `embeddings` has vec_id and embedding (other columns are not read). Vectors that are null or
     hold null or non-finite components take no part, nor do rows without vec_id; shorter vectors
     are filled up with zeros. Ties go to the smaller vec_id. A row is no answer to rows of its own
-    vec_id; rows sharing a vec_id are answers of their own, and queries only once if equal. No
+    vec_id; rows sharing a vec_id are answers of their own, and queries only once if equal (in whole
+    numbers); different queries of one vec_id have the k best of all their answers together. No
     rows, or no query, give no rows.
     """
     python_tasks(embeddings.sparkSession)
@@ -197,10 +201,13 @@ def top_k(embeddings: DataFrame, search: Search = Search()) -> DataFrame:
     pivots = np.array([np.append(p, np.sqrt(max(norm - (p ** 2).sum(), 0.0))) for p in ends])
     cells = stored(rows.mapInArrow(_assign(search, width, norm, pivots), CELLS), "knn-cells")
 
-    counts = {(r["cell"], r["query"]): r["n"] for r in cells.groupBy("cell", "query").agg(F.count("vec_id").alias("n")).collect()}
+    asked = stored(cells.where("query").groupBy("vec_id", "vector").agg(F.min(F.struct("cell", "distance")).alias("at")).select(
+        "vec_id", F.lit(True).alias("query"), "at.cell", "at.distance", "vector"), "knn-queries")
+    counts = {(r["cell"], r["query"]): r["n"] for r in cells.where("NOT query").select("cell", "query").unionByName(
+        asked.select("cell", "query")).groupBy("cell", "query").agg(F.count("cell").alias("n")).collect()}
     session = embeddings.sparkSession
     limits = [(i, j, float(least), -(-counts[i, True] // search.queries), -(-counts[j, False] // search.chunk))
-              for (i, j), least in bounds(cells, search, pivots).items()]
+              for (i, j), least in bounds(cells, asked, search, pivots).items()]
     # One row per pair of cells: at most pivots^2.
     pairs = F.broadcast(session.createDataFrame(
         limits, "query_cell int, data_cell int, least double, query_chunks int, data_chunks int"))
@@ -211,7 +218,7 @@ def top_k(embeddings: DataFrame, search: Search = Search()) -> DataFrame:
     data = cells.where("NOT query").join(pairs, F.col("cell") == F.col("data_cell")).where("distance >= least").select(
         "query_cell", "data_cell", _each("query_chunks").alias("query_chunk"),
         chunk(F.col("data_chunks")).alias("data_chunk"), "query", "vec_id", "vector")
-    asked = cells.where("query").join(pairs, F.col("cell") == F.col("query_cell")).select(
+    asked = asked.join(pairs, F.col("cell") == F.col("query_cell")).select(
         "query_cell", "data_cell", chunk(F.col("query_chunks")).alias("query_chunk"),
         _each("data_chunks").alias("data_chunk"), "query", "vec_id", "vector")
     unit = ["query_cell", "data_cell", "query_chunk", "data_chunk"]

@@ -136,6 +136,30 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 1000")).collect() == []
 
 
+def test_top_k_of_repeated_queries(spark):
+    """Equal rows of a query's vec_id ask once, and none of them takes the place of an answer in the bounds."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(1, 90)]
+    rows += [(100, [1.0, 2.0, 3.0, 1.0])] * 30 + [(200, [float(i), 1.0, 0.0, 0.0]) for i in (1, 2, 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
+    for search in (topk.Search(every=100, chunk=16), topk.Search(every=100, pivots=40, k=5)):
+        got = topk.top_k(df, search).collect()
+        for q in (100, 200):
+            asked = {tuple(v) for i, v in rows if i == q}
+            want = sorted((-1024 * 1024 * int(np.dot(x, y)), i) for x in asked for i, y in rows if i != q)[:search.k]
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+            assert mine == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_bounds_count_vec_ids(spark):
+    """Ten rows of the query's own vec_id are nearest; the pair of cells that holds the answer stays joined."""
+    rows = [(100, False, 0, 0.1)] * 10 + [(1, False, 1, 0.2), (2, False, 1, 3.0)]
+    cells = spark.createDataFrame(rows, "vec_id long, query boolean, cell int, distance double")
+    asked = spark.createDataFrame([(100, 0, 0.1)], "vec_id long, cell int, distance double")
+    limits = topk.bounds(cells, asked, topk.Search(k=1), np.array([[0.0], [5.0]]))
+    assert limits[0, 1] <= 0.2
+
+
 def test_products_are_exact():
     big = np.array([[2 ** 40, 3], [1, -(2 ** 40)]])
     assert (topk.products(big, np.array([[2 ** 20 + 1, 5]])) == big @ np.array([[2 ** 20 + 1], [5]])).all()
