@@ -654,7 +654,7 @@ def event_log_two_applications(spark, sf_dir):
     root = shared_folder(spark, "eventlog")
     lines = frames.event_log_lines(spark, sf_dir)
     lines.write.text(f"{root}/app-1")
-    lines.limit(5).write.text(f"{root}/app-10")
+    lines.write.text(f"{root}/app-10")
     return record_source.event_log_stats(record_source.read_event_log(spark, root, "app-1"))
 
 

@@ -223,6 +223,17 @@ def test_zones_with_a_byte_order_mark(spark, tmp_path):
     assert tuple(dictionaries.read_dictionary(spark, "zones", str(path)).first()) == (7, "B", "Z, west", "N/A")
 
 
+def test_second_application_has_a_whole_log(spark, sf_dir, monkeypatch):
+    """Reading both logs in place of one would double every figure."""
+    from starpipe.catalog import registry
+
+    roots, read = [], record_source.read_event_log
+    monkeypatch.setattr(registry.record_source, "read_event_log", lambda s, root, app: roots.append(root) or read(s, root, app))
+    registry.event_log_two_applications(spark, sf_dir)
+    one, ten = (sorted(r["value"] for r in spark.read.text(f"{roots[0]}/{app}").collect()) for app in ("app-1", "app-10"))
+    assert one == ten and len(one) > 5
+
+
 def test_event_log_of_a_missing_application(spark, tmp_path):
     stats = record_source.event_log_stats(
         record_source.read_event_log(spark, str(tmp_path), "app-0")).first().asDict()
