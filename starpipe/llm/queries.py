@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starpipe.llm import jaccard, language, mixing, packing, quality, secrets, substring, suffixes, topk, urls
+from starpipe.llm import (
+    audit, jaccard, language, mixing, nbsvm, packing, quality, secrets, spelling, substring, suffixes, topk, urls,
+)
 from starpipe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +62,18 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_classifier(spark, sf_dir):
+    return nbsvm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 query(op1_substring_dedup, substring.SQL)
 query(op2_url_filter)
 query(op3_source_mixing, mixing.SQL)
@@ -70,3 +84,6 @@ query(op7_language_id)
 query(op8_packing)
 query(op9_jaccard_join)
 query(op10_suffix_dedup)
+query(op11_filter_audit, audit.SQL)
+query(op12_quality_classifier)
+query(op13_spelling_variants)

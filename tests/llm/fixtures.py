@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, "
           "key string, size int, score double, label int, unit string, n int, start int, spans string")
@@ -111,3 +113,68 @@ def word_counts(text):
             dups += line in seen
             seen.add(line)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(inside)
+
+
+def audited(docs, labels):
+    """{(part, filter_order, step): counts and shapley} of (doc_id, text, lang) and (doc_id, quality, toxic) rows."""
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    first = {}
+    for d, t, _ in docs:
+        if d is not None:
+            first[t or ""] = min(d, first.get(t or "", d))
+    fails = []
+    for d, t, lang in docs:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        f = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+             "D": bool(re.search("[#$%&*|]", t)), "E": d is not None and d > first[t]}
+        fails.append((lang or "", {k for k, v in f.items() if v}, d in good, d in toxic))
+    out, shapley = {}, Counter()
+    for order in map("".join, permutations("ABCDE")):
+        for part, f, is_good, is_toxic in fails:
+            gone = False
+            for step, name in enumerate(order, 1):
+                c = out.setdefault((part, order, step), [0] * 6)
+                c[3] += f == {name}
+                if name in f and not gone:
+                    gone = True
+                    c[1] += 1
+                    c[4] += is_good
+                    c[5] += is_toxic
+                    shapley[part, name] += 1
+                elif name in f:
+                    c[2] += 1
+                c[0] += not gone
+    return {(p, o, s): (*c, shapley[p, o[s - 1]]) for (p, o, s), c in out.items()}
+
+
+def spelling(docs, least_size=5, least_n=3):
+    """[(word, form, root, n, n_near, form_n)] of (doc_id, text) rows, by all deletions and wildcards."""
+    count, near, alike, form = Counter(), defaultdict(set), defaultdict(list), {}
+    for d, t in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(c.lower() if c.isascii() else c for c in w)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 97 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            count[w] += 1
+    words = {w: n for w, n in count.items() if len(w) >= least_size and n >= least_n}
+    for w in words:
+        for i in range(len(w)):
+            alike[w[:i], w[i + 1:]].append(w)
+            if (short := w[:i] + w[i + 1:]) in words:
+                near[w].add(short)
+                near[short].add(w)
+    for group in alike.values():
+        for w in group:
+            near[w].update(x for x in group if x != w)
+    for w in words:
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        if best is not None and words[best] >= 2 * words[w]:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return [(w, form.get(w), root(w), n, len(near[w]), words.get(form.get(w))) for w, n in words.items()]
