@@ -24,14 +24,13 @@ from starpipe.catalog.registry import QUERIES  # noqa: E402
 from starpipe.plans import steps  # noqa: E402
 from starpipe.session import build_session, shared_folder  # noqa: E402
 from starpipe.sinks.parquet import write_dictionary  # noqa: E402
-from starpipe.sources.dictionaries import calendar_between  # noqa: E402
 from starpipe.sources.layers import read_dictionaries  # noqa: E402
 from starpipe.spec import GatePolicy, Layout, RunSettings  # noqa: E402
 
 YEAR, MONTH, DATASET = 2021, 1, "trips"
 STEPS = ("bronze", "silver_prep", "silver_join", "export", "load")
 PRESETS = ("baseline_soft", "opt_soft", "exp_parallel_soft")
-HEADLINE_PRESET = "opt_soft"
+HEADLINE_PRESET = "exp_parallel_soft"
 HEADLINE = ("silver_fact", "dq_silver", "duplicate_pct", "star_join_broadcast", "star_join_merge",
             "order_lines", "order_lines_merge", "fk_violations", "event_log_stats",
             "month_replace", "report_e1_steps", "report_e2_metrics", "report_e3_steps_vs_base",
@@ -40,25 +39,7 @@ HEADLINE = ("silver_fact", "dq_silver", "duplicate_pct", "star_join_broadcast",
 
 def dimensions(spark, sf_dir: str, layout: Layout) -> None:
     """Dictionaries that know every key of the month, so that the load's keys hold."""
-    silver = frames.silver(spark, sf_dir)
-
-    def known(column, key, text):
-        return silver.select(F.col(column).alias(key)).where(F.col(key).isNotNull()).distinct() \
-            .withColumn(text, F.concat(F.lit(f"{key} "), key))
-
-    zones = frames.table(spark, sf_dir, "part").selectExpr(
-        "CAST(p_partkey AS INT) AS zone_id", "p_brand AS borough", "p_name AS zone_name")
-    moved = zones.withColumn("zone_id", F.col("zone_id") + 500_000_000)  # the raw trips' unmapped keys
-    zones = zones.unionByName(moved)
-    tables = {
-        "zones": zones,
-        "payment_type": known("payment_type", "payment_type_id", "description"),
-        "ratecode": known("ratecode_id", "ratecode_id", "description"),
-        "vendor": known("vendor_id", "vendor_id", "vendor_name"),
-        "store_flag": known("store_and_fwd_flag", "store_flag", "description"),
-        "dim_date": calendar_between(spark, "2020-01-01", "2021-12-31"),
-    }
-    for name, table in tables.items():
+    for name, table in frames.known_dictionaries(spark, sf_dir).items():
         write_dictionary(table, layout.dictionary(name))
 
 
@@ -89,7 +70,7 @@ def month(spark, sf_dir: str, timed, prefix: str) -> None:
                 run, "dq_silver", steps.silver_quality(run.layer("silver")), list(rules["dq_silver"])), rows)
             timed("dq_join_check", lambda: steps.check(
                 run, "dq_join", steps.join_quality(run.layer("silver_wide")), list(rules["dq_join"])), rows)
-            fact = spark.read.parquet(run.table("fact_trips")).where(f"year = {YEAR} AND month = {MONTH}")
+            fact = run.fact().read().where(f"year = {YEAR} AND month = {MONTH}")
             timed("dq_dwh_check", lambda: steps.check(
                 run, "dq_dwh", steps.load_quality(fact, F.lit(rows)), list(rules["dq_dwh"])), rows)
 

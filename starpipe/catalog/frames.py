@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from starpipe import trips
 from starpipe.operators.canonical import replace_columns, to_silver_rows
-from starpipe.sources.dictionaries import calendar_covering
+from starpipe.sources.dictionaries import calendar_between, calendar_covering
+from starpipe.sources.layers import spread_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trips(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Line items as a landing file would hold trips: text, published names, bad values.
 
     A line's ship date is the pickup, its quantity shifts the dropoff by minutes around it,
-    and five columns of the canonical fact are missing.
+    and five columns of the canonical fact are missing. `spread` shares a table of few pieces out.
     """
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    lines = table(spark, sf_dir, "lineitem")
+    return (spread_out(lines) if spread else lines).selectExpr(
         "CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(l_linenumber AS STRING) END AS VendorID",
         "CASE WHEN l_linenumber = 6 AND l_linestatus = 'O' THEN 'bad' "
         "ELSE CAST(l_shipdate AS STRING) END AS tpep_pickup_datetime",
@@ -55,8 +57,8 @@ def landing_trips(spark: SparkSession, sf_dir: str, year: int, month: int) -> Da
     return raw.withColumns({c: moved(c) for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")})
 
 
-def silver(spark: SparkSession, sf_dir: str, null_marker: str | None = None) -> DataFrame:
-    return to_silver_rows(raw_trips(spark, sf_dir), trips.TRIPS, null_marker)
+def silver(spark: SparkSession, sf_dir: str, null_marker: str | None = None, spread: bool = False) -> DataFrame:
+    return to_silver_rows(raw_trips(spark, sf_dir, spread), trips.TRIPS, null_marker)
 
 
 def zoneless(df: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def raw_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_store_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread_out(table(spark, sf_dir, "lineitem")).selectExpr(
         "concat(' ', lower(l_returnflag)) AS flag", "concat('flag ', l_returnflag) AS desc"
     ).distinct()
 
@@ -109,6 +111,29 @@ def dictionaries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def known_dictionaries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Dictionaries that have every key of the trips, so that a load's foreign keys hold."""
+    trip = silver(spark, sf_dir)
+
+    def known(column, key, text):
+        keys = trip.select(F.col(column).alias(key)).where(F.col(key).isNotNull()).distinct()
+        return keys.withColumn(text, F.concat(F.lit(f"{key} "), key))
+
+    zones = table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS INT) AS zone_id", "p_brand AS borough", "p_name AS zone_name")
+    suppliers = table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey AS INT) AS zone_id", "'' AS borough", "s_name AS zone_name")
+    moved = zones.withColumn("zone_id", F.col("zone_id") + 500_000_000)  # the raw trips' unmapped keys
+    return {
+        "zones": zones.unionByName(moved).unionByName(suppliers),
+        "payment_type": known("payment_type", "payment_type_id", "description"),
+        "ratecode": known("ratecode_id", "ratecode_id", "description"),
+        "vendor": known("vendor_id", "vendor_id", "vendor_name"),
+        "store_flag": known("store_and_fwd_flag", "store_flag", "description"),
+        "dim_date": calendar_between(spark, "2020-01-01", "2021-12-31"),
+    }
+
+
 def orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumns({
         "year": F.year("o_orderdate"), "month": F.month("o_orderdate")})
@@ -172,3 +197,24 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = events.where("event_type = 'error'").select(
         F.concat(F.lit("cut off {"), F.col("event_id")).alias("value"))
     return task.unionByName(stage).unionByName(broken)
+
+
+def load_log_lines(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
+    """Events as tasks of five stages, and the starts of two jobs: the group's has stages 1 to 3.
+
+    A task that is an error failed; stage 1 reads nothing, so that stage 2 reads the input.
+    """
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = table(spark, sf_dir, "events").withColumn("stage", F.pmod(k, F.lit(5)))
+    task = events.select(F.to_json(F.struct(
+        F.lit("SparkListenerTaskEnd").alias("Event"), F.col("stage").alias("Stage ID"),
+        F.struct(F.col("event_id").alias("Task ID"), F.lit(1000).cast("long").alias("Launch Time"),
+                 (F.round(F.col("value") * 100).cast("long") + 1000).alias("Finish Time"),
+                 (F.col("event_type") == "error").alias("Failed")).alias("Task Info"),
+        F.struct(F.struct((F.col("event_id") * 10).alias("Bytes Read"), F.when(F.col("stage") == 1, 0).otherwise(
+            F.col("event_id") + 1).cast("long").alias("Records Read")).alias("Input Metrics")).alias("Task Metrics"))).alias("value"))
+    mine = F.col("stage").between(1, 3)
+    job = events.groupBy(mine.alias("mine")).agg(F.sort_array(F.collect_set("stage")).alias("Stage IDs")).select(F.to_json(F.struct(
+        F.lit("SparkListenerJobStart").alias("Event"), "Stage IDs", F.create_map(
+            F.lit("spark.jobGroup.id"), F.when(F.col("mine"), group).otherwise("another")).alias("Properties"))).alias("value"))
+    return task.unionByName(job)

@@ -438,6 +438,32 @@ ORACLES: dict[str, str] = {
     "new_months": f"""WITH {MONTHLY} SELECT * FROM monthly m WHERE NOT EXISTS (
       SELECT 1 FROM monthly x WHERE x.o_orderdate < TIMESTAMP '2000-01-01'
       AND x.year = m.year AND x.month = m.month)""",
+    "new_months_by_rows": f"""WITH {MONTHLY} SELECT * FROM monthly m WHERE NOT EXISTS (
+      SELECT 1 FROM monthly x WHERE x.o_orderdate < TIMESTAMP '2000-01-01'
+      AND x.year = m.year AND x.month = m.month)""",
+    "layer_without_fallback": """SELECT 'trial 1' AS read, count(*) AS rows_total FROM orders WHERE o_orderstatus = 'P'
+      UNION ALL SELECT 'trial 2', 0""",
+    "zones_with_mark": f"WITH {ZONES} SELECT * FROM zones",
+    "fact_in_order": """SELECT count(*) AS rows_total, CAST(6 AS BIGINT) AS files, CAST(0 AS BIGINT) AS rows_out_of_order,
+      CAST(0 AS BIGINT) AS files_out_of_order FROM lineitem""",
+    "fk_large_dimensions": " UNION ALL ".join(
+        f"""SELECT '{name}' AS foreign_key, count(*) AS violating_rows, count(DISTINCT l_orderkey) AS violating_values
+        FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"""
+        for name in ("l_orderkey", "sparse", "name")),
+    "load_interrupted": REPLACED + "SELECT * FROM replaced",
+    "reports_in_order": f"""WITH {SILVER}, {SILVER_QUALITY}, {EVALUATED}
+      SELECT 'rules' AS report, CAST(row_number() OVER (ORDER BY step, rule) AS INT) AS place, step || '.' || rule AS row
+      FROM evaluated
+      UNION ALL SELECT 'steps', CAST(row_number() OVER (ORDER BY event_type) AS INT), event_type FROM events""",
+    "load_part_times": """WITH t AS (SELECT *, CAST(props->>'$.k' AS BIGINT) % 5 AS stage FROM events)
+      SELECT count(*) AS parts, round(sum(CAST(round(value * 100) AS BIGINT)) / 1000.0::DOUBLE, 3) AS copy_sec_sum,
+        round(max(CAST(round(value * 100) AS BIGINT)) / 1000.0::DOUBLE, 3) AS copy_sec_max,
+        CAST(sum(event_id + 1) AS BIGINT) AS rows_read
+      FROM t WHERE event_type <> 'error' AND stage = 2""",
+    "pipe_load_unknown_key": """SELECT count(*) AS rows_left, 'rows_unknown_do_zone_id' AS refused,
+        count(*) FILTER (l_linenumber = 3 AND l_tax >= 0.01) AS rows_refused FROM lineitem""",
+    "pipe_reports": """SELECT unnest(['bronze', 'silver_prep', 'silver_join', 'export', 'dwh_single', 'pipeline_total']) AS step,
+      true AS off_timed, true AS on_timed, true AS difference""",
     "layer_scan": f"WITH {SILVER} SELECT {SILVER_LIST} FROM silver",
     "dictionary_read": """
       SELECT 'vendor' AS dictionary, CAST(s_suppkey AS VARCHAR) AS key, s_name AS description
@@ -554,8 +580,15 @@ ORACLES: dict[str, str] = {
       count(*) AS distinct_keys, {PRICE} FROM replaced GROUP BY year, month""",
     "table_month_scan": f"WITH {MONTHLY} SELECT * FROM monthly WHERE year = 1998 AND month = 3",
     "table_statistics": f"""WITH {MONTHLY}
-      SELECT 'table' AS scope, count(*) AS rows_total FROM monthly
-      UNION ALL SELECT 'month', count(*) FROM monthly WHERE year = 1998 AND month = 3""",
+      SELECT 'table' AS scope, count(*) AS rows_total, CAST(NULL AS BIGINT) AS nulls, CAST(NULL AS BIGINT) AS distinct_values,
+        CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS BOOLEAN) AS histogram FROM monthly
+      UNION ALL SELECT 'month', count(*), NULL, NULL, NULL, NULL, NULL FROM monthly WHERE year = 1998 AND month = 3
+      UNION ALL SELECT 'o_orderstatus', NULL, count(*) FILTER (o_orderstatus IS NULL), count(DISTINCT o_orderstatus),
+        NULL, NULL, false FROM orders
+      UNION ALL SELECT 'o_orderpriority', NULL, count(*) FILTER (o_orderpriority IS NULL), count(DISTINCT o_orderpriority),
+        NULL, NULL, false FROM orders
+      UNION ALL SELECT 'o_totalprice', NULL, count(*) FILTER (o_totalprice IS NULL), NULL,
+        min(CAST(o_totalprice AS DOUBLE)), max(CAST(o_totalprice AS DOUBLE)), true FROM orders""",
     "dimension_refresh": f"""WITH {ZONES}, z AS ({ZONE_KEYS})
       SELECT zone_id, zone_name, upper(borough) AS borough FROM z""",
     "bench_append": f"""WITH {BENCH_RECORDS} SELECT 'exp1' AS experiment_id, run_id,
@@ -603,12 +636,22 @@ ORACLES: dict[str, str] = {
     "pipe_load": READ_BACK.replace(RAW, LANDED).replace("'run1' AS load_src", "'exp1' AS load_src"),
     "pipe_quality": f"""WITH {LANDED_SILVER}, {SILVER_QUALITY}, {EVALUATED}
       SELECT step, rule, value_num, threshold, status FROM evaluated""",
+    "pipe_gates": f"""WITH {WIDE.replace(RAW, LANDED)}, {SILVER_QUALITY},
+      j AS (SELECT {", ".join(f"{_pct(c + ' IS NULL')} AS unmapped_{c}_pct" for c in UNMAPPED)} FROM wide),
+      d AS (SELECT {_rules(LOAD_RULES)}, CAST(0 AS DOUBLE) AS rowcount_mismatch_pct FROM silver),
+      long AS ({_long("dq_silver", "quality", trips.GATE.limits["dq_silver"])}
+        UNION ALL {_long("dq_join", "j", trips.GATE.limits["dq_join"])}
+        UNION ALL {_long("dq_dwh", "d", trips.GATE.limits["dq_dwh"])}),
+      e AS (SELECT *, CASE WHEN value_num > threshold THEN 'FAIL' ELSE 'OK' END AS status FROM long)
+      SELECT step, rule, value_num, threshold, status, bool_or(status = 'FAIL') OVER (PARTITION BY step) AS stopped FROM e""",
     "pipe_bench": f"""WITH n AS (SELECT count(*) AS n FROM lineitem)
       SELECT 'exp1' AS experiment_id, 'manual' AS run_id, 'optimized' AS mode, step, 2021 AS year, 1 AS month,
-        n AS rows_in, n AS rows_out, true AS timed, true AS sized
+        n AS rows_in, n AS rows_out, true AS timed, true AS sized,
+        CASE WHEN step = 'dwh_' THEN true END AS rate_of_files_read
       FROM n, (SELECT unnest(['bronze', 'silver_prep', 'export', 'dwh_']) AS step)""",
     "pipe_dims": f"""SELECT 'vendor' AS dimension, count(*) AS rows_total FROM supplier
       UNION ALL SELECT 'ratecode', count(*) FROM nation UNION ALL SELECT 'payment_type', count(*) FROM region
+      UNION ALL SELECT 'store_flag', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'zones', count(*) FROM part
       UNION ALL SELECT 'dim_date', date_diff('day', DATE '{trips.CALENDAR_START}', DATE '{trips.CALENDAR_END}') + 1""",
     **{f"report_{name}": sql for name, sql in REPORTS.items()},
     "report_views": " UNION ALL ".join(

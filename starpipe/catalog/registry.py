@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import suppress
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from starpipe.operators.star import Lookup, star_join
 from starpipe.plans import dashboards, steps
 from starpipe.session import shared_folder
 from starpipe.sinks import csv as csv_sink
+from starpipe.sinks import files
 from starpipe.sinks import parquet as parquet_sink
 from starpipe.sinks import records as record_sink
 from starpipe.sinks import warehouse
@@ -55,8 +57,11 @@ def month_slice(spark, sf_dir):
 
 @query
 def month_select(spark, sf_dir):
-    orders = frames.orders_by_month(spark, sf_dir)
-    picked = landing.select_months(orders, [1996, 1998], [1, 2, 3])
+    """The first quarters of two years, listed by the calendar, of a table partitioned by month."""
+    root = shared_folder(spark, "orders")
+    parquet_sink.replace_months(frames.orders_by_month(spark, sf_dir), root)
+    listed = landing.select_months(frames.raw_dates(spark, sf_dir), [1996, 1998], [1, 2, 3]).select("year", "month").distinct()
+    picked = landing.in_listed_months(spark.read.parquet(root), listed)
     return picked.groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
@@ -64,7 +69,16 @@ def month_select(spark, sf_dir):
 
 @query
 def new_months(spark, sf_dir):
-    """Orders of months that a table landed before 2000 does not have."""
+    """Orders of months that a table landed before 2000 does not have, by its folders alone."""
+    orders = frames.orders_by_month(spark, sf_dir)
+    root = shared_folder(spark, "landed")
+    parquet_sink.replace_months(orders.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz")), root)
+    return landing.not_landed(orders, landing.landed_months(spark, root))
+
+
+@query
+def new_months_by_rows(spark, sf_dir):
+    """The same for a landed table that is not partitioned."""
     orders = frames.orders_by_month(spark, sf_dir)
     landed = orders.where(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
     return landing.new_months(orders, landed)
@@ -74,11 +88,27 @@ def new_months(spark, sf_dir):
 def layer_scan(spark, sf_dir):
     """A layer written without a trial, read by a run that has one."""
     root = shared_folder(spark, "layers")
-    parquet_sink.write_layer(frames.silver(spark, sf_dir), Layout(root, "base"), "silver", *MONTH)
+    parquet_sink.write_layer(frames.silver(spark, sf_dir, spread=True), Layout(root, "base"), "silver", *MONTH)
     rows = layers.read_layer(spark, Layout(root, "base", trial=1), "silver", *MONTH)
     return frames.zoneless(rows)
 
 
+@query
+def layer_without_fallback(spark, sf_dir):
+    """A trial's own layer next to the shared one; a trial without one finds nothing."""
+    root = shared_folder(spark, "layers")
+    orders = frames.table(spark, sf_dir, "orders")
+    parquet_sink.write_layer(orders, Layout(root, "base"), "silver", *MONTH)
+    parquet_sink.write_layer(orders.where("o_orderstatus = 'P'"), Layout(root, "base", trial=1), "silver", *MONTH)
+    own = layers.read_layer(spark, Layout(root, "base", trial=1), "silver", *MONTH, fallback=False)
+    found = own.groupBy(F.lit("trial 1").alias("read")).agg(F.count(F.lit(1)).alias("rows_total"))
+    try:
+        other = layers.read_layer(spark, Layout(root, "base", trial=2), "silver", *MONTH, fallback=False).count()
+    except FileNotFoundError:
+        other = 0
+    return found.unionByName(spark.createDataFrame([("trial 2", other)], "read string, rows_total long"))
+
+
 @query
 def dictionary_read(spark, sf_dir):
     """Four dictionaries written as CSV and read with their fixed schemas."""
@@ -108,6 +138,19 @@ def zones_read(spark, sf_dir):
     return dictionaries.read_dictionary(spark, "zones", root)
 
 
+@query
+def zones_with_mark(spark, sf_dir):
+    """Zones whose file begins with a byte-order mark."""
+    root = shared_folder(spark, "zones")
+    zones = frames.raw_zones(spark, sf_dir)
+    quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in zones.columns]
+    lines = zones.select(F.lit(1).alias("at"), F.concat_ws(",", *quoted).alias("value"))
+    header = "\ufeff" + ",".join(f'"{c}"' for c in zones.columns)
+    whole = spark.createDataFrame([(0, header)], "at int, value string").unionByName(lines)
+    whole.repartition(1).sortWithinPartitions("at").select("value").write.text(root)
+    return dictionaries.read_dictionary(spark, "zones", root)
+
+
 @query
 def dim_date(spark, sf_dir):
     return frames.raw_dates(spark, sf_dir)
@@ -142,10 +185,9 @@ def metrics_roundtrip(spark, sf_dir):
         F.count(F.lit(1)).alias("rows_out"),
         F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("wall_sec"))
     record_sink.write_metrics(record, f"{root}/fallback/steps.json")
-    lines = landing.read_first(
-        [f"{root}/primary/steps.json", f"{root}/fallback/steps.json"],
-        spark.read.schema("step string, rows_out bigint, wall_sec double").json)
-    return lines
+    return record_source.read_metrics(
+        spark, [f"{root}/primary/steps.json", f"{root}/fallback/steps.json"],
+        "step string, rows_out bigint, wall_sec double", lines=True)
 
 
 # --- Projections -------------------------------------------------------------------------
@@ -187,7 +229,7 @@ def quality_flags(spark, sf_dir):
 
 @query
 def row_hash(spark, sf_dir):
-    return frames.silver(spark, sf_dir).select("row_hash")
+    return frames.silver(spark, sf_dir, spread=True).select("row_hash")
 
 
 @query
@@ -198,12 +240,12 @@ def row_hash_marked(spark, sf_dir):
 
 @query
 def silver_fact(spark, sf_dir):
-    return frames.zoneless(frames.silver(spark, sf_dir))
+    return frames.zoneless(frames.silver(spark, sf_dir, spread=True))
 
 
 @query
 def export_fact(spark, sf_dir):
-    return canonical.to_export_rows(frames.silver(spark, sf_dir), SPEC, "run1")
+    return canonical.to_export_rows(frames.silver(spark, sf_dir, spread=True), SPEC, "run1")
 
 
 @query
@@ -258,19 +300,22 @@ def details_json(spark, sf_dir):
 
 # --- Joins and constraints ---------------------------------------------------------------
 
-def _wide(spark, sf_dir, strategy):
-    rows = steps.wide_rows(frames.silver(spark, sf_dir), frames.dictionaries(spark, sf_dir), strategy)
-    return frames.zoneless(rows)
-
-
 @query
 def star_join_broadcast(spark, sf_dir):
-    return _wide(spark, sf_dir, "auto")
+    return frames.zoneless(steps.wide_rows(frames.silver(spark, sf_dir, spread=True), frames.dictionaries(spark, sf_dir)))
 
 
 @query
 def star_join_merge(spark, sf_dir):
-    return _wide(spark, sf_dir, "merge")
+    """Stored first, as the keys of the fact are read before the join."""
+    rows = steps.wide_rows(_stored_silver(spark, sf_dir), frames.dictionaries(spark, sf_dir), "merge")
+    return frames.zoneless(rows)
+
+
+def _stored_silver(spark, sf_dir):
+    layout = Layout(shared_folder(spark, "silver"), "base")
+    parquet_sink.write_layer(frames.silver(spark, sf_dir, spread=True), layout, "silver", *MONTH)
+    return layers.read_layer(spark, layout, "silver", *MONTH)
 
 
 def _headers(spark, sf_dir, strategy):
@@ -313,7 +358,20 @@ def fk_violations(spark, sf_dir):
     raw = frames.dictionaries(spark, sf_dir)
     keys = [constraints.ForeignKey(x.on, x.dim, x.key) for x in steps.trip_lookups(raw)
             if x.on != SPEC.flag]
-    return constraints.foreign_key_violations(frames.silver(spark, sf_dir), keys)
+    return constraints.foreign_key_violations(frames.silver(spark, sf_dir, spread=True), keys)
+
+
+@query
+def fk_large_dimensions(spark, sf_dir):
+    """A dense dimension, a sparse one beyond the bound of its bitmap, and one of texts."""
+    orders = frames.table(spark, sf_dir, "orders")
+    filled = orders.where("o_orderstatus <> 'P'").select(
+        "o_orderkey", (F.col("o_orderkey") * 1_000_003).alias("sparse"), F.concat(F.lit("o"), "o_orderkey").alias("name"))
+    lines = frames.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_orderkey") * 1_000_003).alias("sparse"), F.concat(F.lit("o"), "l_orderkey").alias("name"))
+    return constraints.foreign_key_violations(lines, [
+        constraints.ForeignKey("l_orderkey", filled, "o_orderkey"), constraints.ForeignKey("sparse", filled, "sparse"),
+        constraints.ForeignKey("name", filled, "name")], bitmap_words=orders.count() // 16)
 
 
 @query
@@ -345,12 +403,13 @@ def month_and_flag_guard(spark, sf_dir):
 
 @query
 def dq_rules(spark, sf_dir):
-    return quality.rule_percentages(frames.silver(spark, sf_dir), trips.silver_rules())
+    return quality.rule_percentages(frames.silver(spark, sf_dir, spread=True), trips.silver_rules())
 
 
 @query
 def dq_silver(spark, sf_dir):
-    return steps.silver_quality(frames.silver(spark, sf_dir))
+    """Of the stored layer: shares and duplicates are passes of their own."""
+    return steps.silver_quality(_stored_silver(spark, sf_dir))
 
 
 @query
@@ -362,14 +421,15 @@ def duplicate_pct(spark, sf_dir):
 
 @query
 def dq_unmapped(spark, sf_dir):
-    wide = steps.wide_rows(frames.silver(spark, sf_dir), frames.dictionaries(spark, sf_dir))
+    wide = steps.wide_rows(frames.silver(spark, sf_dir, spread=True), frames.dictionaries(spark, sf_dir))
     return steps.join_quality(wide)
 
 
 @query
 def dq_load(spark, sf_dir):
+    """The fact as if rows without a pickup time had been lost on the way: the counts differ by them."""
     exported = frames.table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n")).scalar()
-    fact = frames.silver(spark, sf_dir).where(F.col("pickup_ts").isNotNull())
+    fact = frames.silver(spark, sf_dir, spread=True).where(F.col("pickup_ts").isNotNull())
     return steps.load_quality(fact, exported)
 
 
@@ -380,7 +440,7 @@ def rowcount_mismatch(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir):
-    metrics = steps.silver_quality(frames.silver(spark, sf_dir))
+    metrics = steps.silver_quality(_stored_silver(spark, sf_dir))
     rules = list(trips.GATE.limits["dq_silver"])
     return quality.evaluate(quality.as_rules(metrics, rules), "dq_silver", trips.GATE)
 
@@ -413,7 +473,7 @@ def dq_summary(spark, sf_dir):
 def quality_append(spark, sf_dir):
     """Rule results of two checks appended to one table."""
     path = shared_folder(spark, "dq_results")
-    silver = frames.silver(spark, sf_dir)
+    silver = frames.silver(spark, sf_dir, spread=True)
     for step, metrics in (
         ("dq_silver", quality.rule_percentages(silver, trips.silver_rules())),
         ("dq_dwh", quality.rule_percentages(silver, trips.load_rules())),
@@ -430,7 +490,7 @@ def quality_append(spark, sf_dir):
 def _csv_roundtrip(spark, sf_dir, mode):
     """Export and read back; parts follow the tasks, a single file only within its bound."""
     root = shared_folder(spark, "export")
-    rows = canonical.to_export_rows(frames.silver(spark, sf_dir), SPEC, "run1")
+    rows = canonical.to_export_rows(frames.silver(spark, sf_dir, spread=True), SPEC, "run1")
     done = csv_sink.export_csv(rows, root, csv_sink.export_name("fact_trips", *MONTH), mode)
     return frames.zoneless(steps.read_export(spark, done.folder, SPEC))
 
@@ -459,6 +519,15 @@ def parquet_sorted_files(spark, sf_dir):
     return spark.read.parquet(root)
 
 
+@query
+def fact_in_order(spark, sf_dir):
+    """All trips in the order of pickup and distance, over files and within them."""
+    root = shared_folder(spark, "ordered")
+    silver = frames.silver(spark, sf_dir, spread=True)
+    parquet_sink.write_ordered(silver, root, ("pickup_ts", "trip_distance"), files=6, group_rows=10_000)
+    return parquet_sink.order_breaks(spark, root, ("pickup_ts", "trip_distance"))
+
+
 def _raised(spark, sf_dir):
     """One month's orders with a higher price."""
     orders = frames.orders_by_month(spark, sf_dir)
@@ -476,25 +545,55 @@ def month_replace(spark, sf_dir):
     return spark.read.parquet(root)
 
 
-def _loaded(spark, sf_dir):
+def _detached(df, *tables):
+    """The rows as files of their own, after which the tables leave the catalogue."""
+    path = shared_folder(df.sparkSession, "detached")
+    df.write.parquet(path)
+    for table in tables:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _months_of_orders(spark, sf_dir):
+    """A month table with all orders."""
     root = shared_folder(spark, "fact")
-    parquet_sink.replace_months(warehouse.stamp(frames.orders_by_month(spark, sf_dir)), root)
+    orders = warehouse.stamp(frames.orders_by_month(spark, sf_dir))
+    table = warehouse.open_months(spark, "fact_" + root.rsplit("-", 1)[1], root, orders.schema)
+    table.replace_months(orders)
+    return table
+
+
+def _loaded(spark, sf_dir):
+    table = _months_of_orders(spark, sf_dir)
     customers = frames.table(spark, sf_dir, "customer")
     warehouse.load_month(
-        _raised(spark, sf_dir), root, *MONTH, flag="o_orderstatus", allowed=("F", "O", "P"),
+        _raised(spark, sf_dir), table, *MONTH, flag="o_orderstatus", allowed=("F", "O", "P"),
         foreign_keys=[constraints.ForeignKey("o_custkey", customers, "c_custkey")])
-    return root
+    return table
 
 
 @query
 def load_month(spark, sf_dir):
-    return spark.read.parquet(_loaded(spark, sf_dir)).drop("trip_id", "load_dt")
+    table = _loaded(spark, sf_dir)
+    return _detached(table.read().drop("trip_id", "load_dt"), table.name)
+
+
+@query
+def load_interrupted(spark, sf_dir):
+    """All months after a load whose last write died with half of its rows written."""
+    table = _loaded(spark, sf_dir)
+    odd = F.col("o_orderkey") % 2 == 1
+    halves = warehouse.stamp(_raised(spark, sf_dir).withColumn("o_totalprice", F.col("o_totalprice") + 5)).repartition(2, odd)
+    with suppress(Exception):
+        table.replace(halves.withColumn("o_orderpriority", F.when(odd, F.raise_error(F.lit("killed")))
+                                        .otherwise(F.col("o_orderpriority"))), *MONTH)
+    return _detached(table.read().drop("trip_id", "load_dt"), table.name)
 
 
 @query
 def load_month_staged(spark, sf_dir):
-    table = spark.read.parquet(_loaded(spark, sf_dir))
-    return table.groupBy("year", "month").agg(
+    table = _loaded(spark, sf_dir)
+    return _detached(table.read(), table.name).groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("rows_total"), F.count_distinct("trip_id").alias("distinct_keys"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
 
@@ -510,17 +609,19 @@ def table_month_scan(spark, sf_dir):
     """One month of a catalogue table partitioned by month."""
     root = shared_folder(spark, "orders")
     parquet_sink.replace_months(frames.orders_by_month(spark, sf_dir), root)
-    return layers.month_of_table(spark, _registered(spark, root), *MONTH)
+    name = _registered(spark, root)
+    return _detached(layers.month_of_table(spark, name, *MONTH), name)
 
 
 @query
 def table_statistics(spark, sf_dir):
-    """Row counts the catalogue knows after an analysis: of the table and of one month."""
+    """What the catalogue knows after an analysis: rows of the table and of one month, and of columns."""
     root = shared_folder(spark, "orders")
     parquet_sink.replace_months(frames.orders_by_month(spark, sf_dir), root)
     name = _registered(spark, root)
-    warehouse.analyze(spark, name)
     warehouse.analyze(spark, name, *MONTH)
+    columns = ("o_orderstatus", "o_orderpriority", "o_totalprice")
+    warehouse.analyze(spark, name, columns=columns)
 
     def known(scope, statement):
         return spark.sql(statement).where(
@@ -529,8 +630,15 @@ def table_statistics(spark, sf_dir):
                  F.regexp_extract("data_type", r"(\d+) rows", 1).cast("long").alias("rows_total"))
 
     part = f"PARTITION (year={MONTH[0]}, month={MONTH[1]})"
-    return known("table", f"DESCRIBE EXTENDED {name}").unionByName(
+    rows = known("table", f"DESCRIBE EXTENDED {name}").unionByName(
         known("month", f"DESCRIBE EXTENDED {name} {part}"))
+    stats = warehouse.column_statistics(spark, name, columns)
+    few = F.when(F.col("column") != "o_totalprice", F.col("distinct_values"))  # many are only estimated
+    return _detached(rows.select("scope", "rows_total", *[F.lit(None).cast(t).alias(n) for n, t in (
+        ("nulls", "long"), ("distinct_values", "long"), ("low", "double"), ("high", "double"), ("histogram", "boolean"))]).unionByName(
+        stats.select(F.col("column").alias("scope"), F.lit(None).cast("long").alias("rows_total"), "nulls", few.alias("distinct_values"),
+                     F.col("min").try_cast("double").alias("low"), F.col("max").try_cast("double").alias("high"),
+                     (F.col("bins") > 1).alias("histogram"))), name)
 
 
 @query
@@ -542,7 +650,7 @@ def dimension_refresh(spark, sf_dir):
     parquet_sink.write_dictionary(zones, path)
     spark.catalog.createTable(name, path=path, source="parquet")
     warehouse.refresh_dimension(zones.withColumn("borough", F.upper("borough")), name, path)
-    return spark.table(name)
+    return _detached(spark.table(name), name)
 
 
 @query
@@ -577,6 +685,32 @@ def run_report(spark, sf_dir):
     return steps_part.unionByName(rules_part)
 
 
+@query
+def reports_in_order(spark, sf_dir):
+    """Row order of the sorted reports: places of rules by step and rule, of steps by step."""
+    path = shared_folder(spark, "bench")
+    record_sink.append_rows(record_sink.bench_rows(frames.metric_records(spark, sf_dir), "exp1", "run1"), path)
+    rules = record_sink.quality_report(record_sink.quality_rows(_evaluated(spark, sf_dir), "exp1", "run1", 2024, 1))
+    walls = record_sink.bench_report(spark.read.parquet(path))
+
+    def placed(report, name, *columns):
+        # Row ids of a sorted frame rise with its order; as places they are counted in one small task.
+        at = report.select(*columns, F.monotonically_increasing_id().alias("at"))
+        return at.select(F.lit(name).alias("report"), F.row_number().over(Window.orderBy("at")).alias("place"),
+                         F.concat_ws(".", *columns).alias("row"))
+
+    return placed(rules, "rules", "step", "rule").unionByName(placed(walls, "steps", "step"))
+
+
+@query
+def load_part_times(spark, sf_dir):
+    """Parts of a load by its event log: their number, their seconds in sum and at most, rows read."""
+    root = shared_folder(spark, "eventlog")
+    frames.load_log_lines(spark, sf_dir, "load run1").write.text(f"{root}/app-1")
+    events = record_source.read_event_log(spark, root, "app-1")
+    return record_source.part_totals(record_source.part_times(events, "load run1"))
+
+
 @query
 def load_throughput(spark, sf_dir):
     """Bytes and rows per second of each month's load, and its slowest and total part.
@@ -628,11 +762,10 @@ def fk_two_dimensions(spark, sf_dir):
 @query
 def load_empty_month(spark, sf_dir):
     """All months of orders, one of them loaded again without rows."""
-    root = shared_folder(spark, "fact")
+    table = _months_of_orders(spark, sf_dir)
     orders = frames.orders_by_month(spark, sf_dir)
-    parquet_sink.replace_months(warehouse.stamp(orders), root)
-    warehouse.load_month(orders.where("false"), root, *MONTH, flag="o_orderstatus", allowed=("F", "O", "P"))
-    return spark.read.parquet(root).drop("trip_id", "load_dt")
+    warehouse.load_month(orders.where("false"), table, *MONTH, flag="o_orderstatus", allowed=("F", "O", "P"))
+    return _detached(table.read().drop("trip_id", "load_dt"), table.name)
 
 
 @query
@@ -663,13 +796,13 @@ def event_log_two_applications(spark, sf_dir):
 TRIP_MONTH = (2021, 1)
 
 
-def _pipeline(spark, sf_dir, *names):
+def _pipeline(spark, sf_dir, *names, root=None, experiment="exp1", aqe=True):
     """A run over all line items as trips of one month, up to the named steps."""
-    layout = Layout(shared_folder(spark, "pipe"), "exp1", trial=1)
-    frames.landing_trips(spark, sf_dir, *TRIP_MONTH).write.option("header", True).csv(
+    layout = Layout(root or shared_folder(spark, "pipe"), experiment, trial=1)
+    frames.landing_trips(spark, sf_dir, *TRIP_MONTH).write.mode("overwrite").option("header", True).csv(
         f"{layout.root}/landing/trips/year={TRIP_MONTH[0]}/month={TRIP_MONTH[1]}")
     run = steps.Run(spark, layout, *TRIP_MONTH, policy=GatePolicy(trips.GATE.limits, ()), settings=RunSettings(
-        shuffle_partitions=int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        aqe=aqe, shuffle_partitions=int(spark.conf.get("spark.sql.shuffle.partitions"))))
     actions = {
         "bronze": lambda: steps.to_bronze(run, "trips"), "silver": lambda: steps.to_silver(run),
         "wide": lambda: steps.to_wide(run), "export": lambda: steps.to_export(run)[1]}
@@ -699,10 +832,28 @@ def pipe_wide(spark, sf_dir):
 
 @query
 def pipe_load(spark, sf_dir):
-    """Export and load of the month: the warehouse fact, without its stamps."""
+    """Export and load of the month with all its foreign keys: the warehouse fact, without its stamps."""
     run, export = _pipeline(spark, sf_dir, "bronze", "silver", "export")
-    steps.load(run, export)
-    return frames.zoneless(spark.read.parquet(run.table("fact_trips")).drop("trip_id", "load_dt"))
+    steps.load(run, export, frames.known_dictionaries(spark, sf_dir))
+    fact = run.fact()
+    return _detached(frames.zoneless(fact.read().drop("trip_id", "load_dt")), fact.name)
+
+
+@query
+def pipe_load_unknown_key(spark, sf_dir):
+    """A load with a zone the dimension lacks: refused, so the month loaded before is still there."""
+    run, export = _pipeline(spark, sf_dir, "bronze", "silver", "export")
+    dims = frames.known_dictionaries(spark, sf_dir)
+    steps.load(run, export, dims)
+    refused = ""
+    try:
+        steps.load(run, export, {**dims, "zones": dims["zones"].where("zone_id < 500000000")})
+    except constraints.LoadRejected as problem:
+        refused = str(problem)
+    fact = run.fact()
+    left = fact.read().agg(F.count(F.lit(1)).alias("rows_left"), F.lit(refused.split("=")[0]).alias("refused"),
+                           F.lit(int(refused.split("=")[1])).cast("long").alias("rows_refused"))
+    return _detached(left, fact.name)
 
 
 @query
@@ -713,14 +864,54 @@ def pipe_quality(spark, sf_dir):
     return spark.read.parquet(run.table("dq_results")).select("step", "rule", "value_num", "threshold", "status")
 
 
+@query
+def pipe_gates(spark, sf_dir):
+    """The three checks of a run with the gates on: what each stored before the run went on or stopped."""
+    run, export = _pipeline(spark, sf_dir, "bronze", "silver", "wide", "export")
+    steps.load(run, export, frames.known_dictionaries(spark, sf_dir))
+    run, fact = replace(run, policy=trips.GATE), run.fact()
+    exported = spark.read.option("header", True).csv(export.folder).agg(F.count(F.lit(1)).alias("n")).scalar()
+    checks = {"dq_silver": steps.silver_quality(run.layer("silver")), "dq_join": steps.join_quality(run.layer("silver_wide")),
+              "dq_dwh": steps.load_quality(fact.read(), exported)}
+    stopped = []
+    for step, metrics in checks.items():
+        try:
+            steps.check(run, step, metrics, list(trips.GATE.limits[step]))
+        except quality.QualityGateError:
+            stopped.append(step)
+    results = spark.read.parquet(run.table("dq_results"))
+    return _detached(results.select("step", "rule", "value_num", "threshold", "status",
+                                    F.col("step").isin(*stopped).alias("stopped")), fact.name)
+
+
 @query
 def pipe_bench(spark, sf_dir):
     """What the steps of a run recorded of themselves in the bench table."""
     run, export = _pipeline(spark, sf_dir, "bronze", "silver", "export")
     steps.load(run, export)
+    run.fact().drop()
+    read = files.files_mib(spark, export.folder, export.files)
+    rated = F.abs(F.col("copy_throughput_mib_s") * F.col("wall_sec") - read) < 0.001
     return steps.bench_results(run).select(
         "experiment_id", "run_id", "mode", F.regexp_replace("step", "^dwh_.*", "dwh_").alias("step"), "year",
-        "month", "rows_in", "rows_out", (F.col("wall_sec") > 0).alias("timed"), (F.col("bytes_out_mb") > 0).alias("sized"))
+        "month", "rows_in", "rows_out", (F.col("wall_sec") > 0).alias("timed"), (F.col("bytes_out_mb") > 0).alias("sized"),
+        rated.alias("rate_of_files_read"))
+
+
+@query
+def pipe_reports(spark, sf_dir):
+    """Two runs of the steps as the two experiments of a report, and the report over their bench table."""
+    off, on = trips.EXPERIMENTS["v_e1"]
+    root = shared_folder(spark, "pipe")
+    for name, adaptive in ((off, False), (on, True)):
+        run, export = _pipeline(spark, sf_dir, "bronze", "silver", "wide", "export", root=root, experiment=name, aqe=adaptive)
+        steps.load(run, export, frames.known_dictionaries(spark, sf_dir))
+        run.fact().drop()
+    bench = spark.read.parquet(run.table("bench_results"))
+    rows = bench.withColumn("step", F.regexp_replace("step", "^dwh_parallel", "dwh_single"))
+    report = dashboards.e1_steps(rows)
+    return report.select("step", (F.col("off_sec") > 0).alias("off_timed"), (F.col("on_sec") > 0).alias("on_timed"),
+                         (F.abs(F.col("on_sec") - F.col("off_sec") - F.col("delta_sec")) < 0.01).alias("difference"))
 
 
 @query
@@ -730,10 +921,15 @@ def pipe_dims(spark, sf_dir):
     database = "d_" + layout.root.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {database} LOCATION '{layout.root}/tables'")
     try:
-        named = {"vendor": ("supplier", "s_suppkey", "s_name"), "ratecode": ("nation", "n_nationkey", "n_name"),
-                 "payment_type": ("region", "r_regionkey", "r_name")}
-        for name, (table, key, text) in named.items():
-            frames.table(spark, sf_dir, table).select(key, text).write.option("header", True).csv(f"{layout.root}/csv/{name}")
+        named = {
+            "vendor": frames.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"),
+            "ratecode": frames.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
+            "payment_type": frames.table(spark, sf_dir, "region").select("r_regionkey", "r_name"),
+            "store_flag": frames.table(spark, sf_dir, "orders").select("o_orderstatus", F.lower("o_orderstatus")).distinct(),
+            "zones": frames.raw_zones(spark, sf_dir).where("NOT startswith(Zone, 'alias of ')"),
+        }
+        for name, table in named.items():
+            table.write.option("header", True).csv(f"{layout.root}/csv/{name}")
         steps.init_dimensions(spark, layout, {n: f"{layout.root}/csv/{n}" for n in named}, database=database)
         counts = [spark.table(f"{database}.{n}").select(F.lit(n).alias("dimension")) for n in (*named, "dim_date")]
         out = reduce(DataFrame.unionByName, counts).groupBy("dimension").agg(F.count(F.lit(1)).alias("rows_total"))

@@ -11,6 +11,10 @@ from starpipe.functions.measures import share_pct
 from starpipe.spec import GatePolicy
 
 
+#: Slots of the bitmap of suspected duplicates, as a power of two: a million words of 64.
+SUSPECT_BITS = 26
+
+
 class QualityGateError(RuntimeError):
     """Raised when a gated step has failing rules."""
 
@@ -23,24 +27,52 @@ def rule_percentages(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     )
 
 
+def suspect_words(hashes: DataFrame, bits: int = SUSPECT_BITS) -> DataFrame:
+    """word, bits: a bitmap of the slots of those `hash` values that occur more than once.
+
+    It has 2^bits slots whatever the data. Only the hash, eight bytes, is exchanged to fill it.
+    """
+    twice = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slot = _slot(F.col("hash"), bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    return twice.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _slot(hashed: Column, bits: int) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def suspects(df: DataFrame, keys: Sequence[str], bits: int = SUSPECT_BITS) -> DataFrame:
+    """The keys of rows that may share them with another row; no row that does is missing."""
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("hash"))
+    words = F.broadcast(suspect_words(hashed.select("hash"), bits))  # at most 2^(bits - 6) words
+    slot = _slot(F.col("hash"), bits)
+    marked = hashed.withColumn("word", F.shiftright(slot, 6)).join(words, "word")
+    own = F.call_function("shiftright", F.col("bits"), slot.bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return marked.where(own == 1).select(*keys)
+
+
 def duplicate_percentage(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows beyond the first of each key group, over those of the keys the frame has.
 
-    Group sizes are summed on the map side first, so a group of any size is one small row
-    per task. Nulls compare equal.
+    A first pass finds the slots of key hashes seen twice; a second one groups exactly, and so
+    exchanges, only rows of these slots. Rows whose key is theirs alone stay where they are. Group
+    sizes are summed on the map side. Nulls compare equal. `df` is read three times, so a
+    derived one is stored first.
     """
     present = [k for k in keys if k in df.columns]
+    count = F.count(F.lit(1))
+    rows = df.agg(count.alias("rows_total"))
     if not present:
-        groups = df.groupBy(F.lit(1)).agg(F.lit(1).cast("long").alias("n"))
-    else:
-        groups = df.groupBy(*present).agg(F.count(F.lit(1)).alias("n"))
-    extra = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0))
-    rows = F.coalesce(F.sum("n"), F.lit(0))
-    share = F.coalesce(F.try_divide(extra * 100.0, rows), F.lit(0.0))
-    return groups.agg(
-        extra.alias("extra_rows"), rows.alias("rows_total"),
-        F.round(share, 6).alias("duplicate_key_pct"),
-    )
+        return _duplicates(rows, F.lit(0).cast("long"))  # no key, nothing to repeat
+    groups = suspects(df, present).groupBy(*present).agg(count.alias("n")).where("n > 1")
+    return _duplicates(rows, groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar())
+
+
+def _duplicates(rows: DataFrame, extra: Column) -> DataFrame:
+    counted = rows.select(extra.alias("extra_rows"), "rows_total")
+    share = F.coalesce(F.try_divide(F.col("extra_rows") * 100.0, F.col("rows_total")), F.lit(0.0))
+    return counted.withColumn("duplicate_key_pct", F.round(share, 6))
 
 
 def rowcount_mismatch(expected: DataFrame, loaded: DataFrame) -> DataFrame:

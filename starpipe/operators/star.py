@@ -6,7 +6,6 @@ one is shuffled, with the frequent keys and the nulls of the fact spread over ma
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -19,7 +18,8 @@ from starpipe.operators.dims import one_row_per_key
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
-TRACKED_KEYS = 20  # by the frequency sketch, for each key that could be frequent
+TRACKED_KEYS = 20  # by the frequency sketch, for each task of an exchange
+FAN_IN = 128  # sketches that one task merges
 
 _SLOT = "__slot"
 
@@ -80,53 +80,105 @@ def small_lookups(lookups: Sequence[Lookup]) -> list[Lookup]:
     return [x for x in lookups if x in small]
 
 
+def key_sketches(fact: DataFrame, columns: Sequence[str], tracked: int) -> DataFrame:
+    """Rows (`n`) and a frequency sketch of each column, over groups of groups of map tasks.
+
+    Sketches are merged in levels: FAN_IN neighbouring tasks into one, FAN_IN of those into the next,
+    so that no task receives the sketches of all others.
+    """
+    def level(rows, lane, n, sketch):
+        return rows.groupBy(lane.alias("__lane")).agg(n.alias("n"), *[
+            F.expr(sketch.format(c, tracked)).alias(c) for c in columns])
+
+    first = level(fact.select(*columns), F.floor(F.spark_partition_id() / FAN_IN),
+                  F.count(F.lit(1)), "approx_top_k_accumulate(`{}`, {})")
+    return level(first, F.floor(F.col("__lane") / FAN_IN), F.sum("n"), "approx_top_k_combine(`{}`, {})")
+
+
 def hot_keys(fact: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[object, float]]]:
-    """Keys holding more than a task's fair share of the fact, for all columns in one pass.
+    """The most frequent keys of each column with their shares, for all columns in one pass.
 
-    A frequency sketch: it only steers the spreading, so its error cannot change a result. At
-    most as many keys per column as there are shuffle partitions can qualify, which bounds what
-    comes back.
+    A frequency sketch: it only steers how rows travel, so its error cannot change a result. At
+    most TRACKED_KEYS keys for each shuffle partition come back for a column, a million in all.
     """
+    tracked = tracked_keys(fact, len(columns))
+    sketches = key_sketches(fact, columns, tracked)
+    # A group, so that tasks without a sketch bring none.
+    row = sketches.groupBy(F.lit(0).alias("__all")).agg(F.sum("n").alias("__n"), *[
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(`{c}`, {tracked}), {tracked})").alias(c) for c in columns
+    ]).first()
+    if row is None:
+        return {c: [] for c in columns}
+    return {c: [(item["item"], item["count"] / row["__n"]) for item in (row[c] or [])] for c in columns}
+
+
+def tracked_keys(fact: DataFrame, columns: int) -> int:
     tasks = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tracked = min(TRACKED_KEYS * tasks, 1_000_000)
-    row = fact.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.expr(f"approx_top_k(`{c}`, {tasks}, {tracked})").alias(c) for c in columns],
-    ).first()
-    total = row["__n"] or 1
-    return {
-        c: [(item["item"], item["count"] / total) for item in (row[c] or [])
-            if item["count"] * tasks > total]
-        for c in columns
-    }
-
-
-def _merge_join(fact: DataFrame, lookup: Lookup, hot: list[tuple[object, float]]) -> DataFrame:
-    """Shuffled left join. Frequent keys, null among them, are spread over several salts."""
-    dim = lookup.projection().where(F.col("__key").isNotNull())
-    if not hot:
-        dim = one_row_per_key(dim, ["__key"]).hint("merge")
-        return fact.join(dim, F.col(lookup.on) == F.col("__key"), "left").drop("__key")
+    return max(1, min(TRACKED_KEYS * tasks, 1_000_000 // max(1, columns)))
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent keys of a column as a frame `__hot` (None for none), and whether others occur at all."""
 
-    spark = fact.sparkSession
+    keys: DataFrame | None
+    others: bool
+
+
+def frequent_keys(fact: DataFrame, columns: Sequence[str]) -> dict[str, Frequent]:
+    """Keys of each column that hold more than a task's fair share of the fact.
+
+    Where the tracked keys seem to be all there are, that is counted exactly; if so, all of them.
+    """
+    spark, sketched = fact.sparkSession, hot_keys(fact, columns)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    widths = [(k, max(2, math.ceil(share * tasks))) for k, share in hot if k is not None]
-    left, names = fact, dim.columns
-    width = F.lit(1)
-    if widths:
-        schema = T.StructType([T.StructField("__hot", fact.schema[lookup.on].dataType),
-                               T.StructField("__width", T.IntegerType())])
-        frequent = F.broadcast(spark.createDataFrame(widths, schema))
-        width = F.coalesce(F.col("__width"), F.lit(1))
-        dim = dim.join(frequent, F.col("__key") == F.col("__hot"), "left")
-        left = left.join(frequent, F.col(lookup.on) == F.col("__hot"), "left")
-    copies = F.explode(F.sequence(F.lit(0), width - 1)).alias("__copy")
-    dim = one_row_per_key(dim.select(*names, copies), ["__key", "__copy"]).hint("merge")
-    # A null key matches nothing, so it may go anywhere.
-    spots = F.when(F.col(lookup.on).isNull(), F.lit(tasks)).otherwise(width)
-    left = left.select(*fact.columns, F.pmod(F.col(_SLOT), spots).cast("int").alias("__salt"))
-    match = (F.col(lookup.on) == F.col("__key")) & (F.col("__salt") == F.col("__copy"))
-    return left.join(dim, match, "left").drop("__salt", "__key", "__copy")
+
+    def frame(c, keys):
+        schema = T.StructType([T.StructField("__hot", fact.schema[c].dataType)])
+        return spark.createDataFrame([(k,) for k in keys if k is not None], schema)
+
+    whole = {c: frame(c, [k for k, _ in found]) for c, found in sketched.items() if sum(s for _, s in found) > 0.999}
+    others = dict.fromkeys(columns, True)
+    if whole:
+        rest = fact.select(*whole)
+        for n, (c, keys) in enumerate(whole.items()):
+            known = F.broadcast(keys.select(F.col("__hot").alias(f"__hot_{n}")))
+            rest = rest.join(known, F.col(c) == F.col(f"__hot_{n}"), "left")
+        beyond = rest.agg(*[F.count_if(F.col(c).isNotNull() & F.col(f"__hot_{n}").isNull()) for n, c in enumerate(whole)]).first()
+        others |= {c: beyond[n] > 0 for n, c in enumerate(whole)}
+    large = {c: [k for k, share in found if k is not None and share * tasks > 1] for c, found in sketched.items()}
+    return {c: Frequent(frame(c, large[c]) if large[c] else None, True) if others[c] else Frequent(whole[c], False)
+            for c in columns}
+
+
+def _merge_join(fact: DataFrame, lookup: Lookup, frequent: Frequent) -> DataFrame:
+    """Shuffled left join. Rows of frequent keys find their dimension row in a broadcast.
+
+    That broadcast has a row per frequent key at most. These rows, and those without a key, are
+    spread over all tasks of the exchange; if there are no others, there is no exchange.
+    """
+    dim = lookup.projection().where(F.col("__key").isNotNull())
+    tasks = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.col(_SLOT), F.lit(tasks)) + 1
+    if frequent.keys is None:
+        left = fact.withColumn("__salt", F.when(F.col(lookup.on).isNull(), spread).otherwise(0).cast("int"))
+        far = one_row_per_key(dim, ["__key"]).withColumn("__zero", F.lit(0)).hint("merge")
+        match = (F.col(lookup.on) == F.col("__key")) & (F.col("__salt") == F.col("__zero"))
+        return left.join(far, match, "left").drop("__salt", "__key", "__zero")
+    hot = F.broadcast(frequent.keys)
+    near = one_row_per_key(dim.join(hot, F.col("__key") == F.col("__hot"), "left_semi"), ["__key"])
+    names = list(lookup.take.values())
+    near = near.select(F.col("__key").alias("__near"), *[F.col(n).alias(f"__near_{n}") for n in names])
+    if not frequent.others:
+        out = fact.join(F.broadcast(near), F.col(lookup.on) == F.col("__near"), "left")
+        return out.select(*fact.columns, *[F.col(f"__near_{n}").alias(n) for n in names])
+    marked = fact.join(hot, F.col(lookup.on) == F.col("__hot"), "left")
+    left = marked.join(F.broadcast(near), F.col(lookup.on) == F.col("__near"), "left")
+    cold = F.when(F.col("__hot").isNull(), F.col(lookup.on))
+    left = left.withColumns({"__cold": cold, "__salt": F.when(cold.isNull(), spread).otherwise(0).cast("int")})
+    far = one_row_per_key(dim, ["__key"]).withColumn("__zero", F.lit(0)).hint("merge")
+    out = left.join(far, (F.col("__cold") == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left")
+    return out.select(*fact.columns, *[F.coalesce(F.col(f"__near_{n}"), F.col(n)).alias(n) for n in names])
 
 
 def star_join(
@@ -135,10 +187,12 @@ def star_join(
 ) -> DataFrame:
     """Attach all lookups, each on a column of the fact itself.
 
-    `auto` broadcasts what fits, `merge` shuffles every one. A second-level dimension is
-    attached to its own parent first. With `measured` all lookups are already known to fit.
+    `auto` broadcasts what fits, `merge` broadcasts only the dimension rows of frequent keys. A
+    second-level dimension is attached to its own parent first. With `measured` all lookups are
+    already known to fit. What is shuffled reads the keys of the fact up to twice more: a
+    derived fact is stored first.
 
-    Rows of a frequent key are spread by a row number. That number is the same when a lost
+    Rows without a rare key are spread by a row number. That number is the same when a lost
     task runs again as long as the fact comes from files through projections and filters;
     for any other fact set `from_files` to False, and a hash of the row is used instead.
     """
@@ -154,8 +208,8 @@ def star_join(
 
     out = fact
     spread = sorted({x.on for x in lookups if x not in small})
-    hot = hot_keys(fact, spread) if spread else {}
-    if any(hot.values()):
+    frequent = frequent_keys(fact, spread) if spread else {}
+    if any(x.others for x in frequent.values()):
         slot = F.monotonically_increasing_id() if from_files else F.xxhash64(*fact.columns)
         out = out.withColumn(_SLOT, slot)  # before any shuffle
     for lookup in lookups:
@@ -163,5 +217,5 @@ def star_join(
             dim = F.broadcast(one_row_per_key(lookup.projection(), ["__key"]))
             out = out.join(dim, F.col(lookup.on) == F.col("__key"), "left").drop("__key")
         else:
-            out = _merge_join(out, lookup, hot[lookup.on])
+            out = _merge_join(out, lookup, frequent[lookup.on])
     return out.drop(_SLOT)

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
-from collections.abc import Callable, Mapping, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starpipe import trips
 from starpipe.functions.casts import flag_text, tolerant_cast
@@ -26,14 +28,16 @@ from starpipe.operators.dims import conform_dim, conform_dim_date
 from starpipe.operators.star import Lookup, star_join
 from starpipe.session import applied
 from starpipe.sinks.csv import Export, export_csv, export_name
-from starpipe.sinks.files import folder_mib, part_files
+from starpipe.sinks.files import files_mib, folder_mib, part_files
 from starpipe.sinks.parquet import write_dictionary, write_layer
 from starpipe.sinks.records import append_rows, bench_rows, one_run, quality_rows
-from starpipe.sinks.warehouse import LoadReport, analyze, load_month, refresh_dimension, register
+from starpipe.sinks.warehouse import (
+    LoadReport, MonthTable, analyze, load_month, open_months, refresh_dimension, stamped_schema,
+)
 from starpipe.sources.dictionaries import calendar_between, read_dictionary
 from starpipe.sources.landing import read_csv_text, read_landing
-from starpipe.sources.layers import read_dictionaries, read_layer
-from starpipe.sources.records import event_log_stats, partition_count, read_event_log
+from starpipe.sources.layers import read_dictionaries, read_layer, spread_out
+from starpipe.sources.records import event_log_stats, part_times, part_totals, partition_count, read_event_log
 from starpipe.spec import FactSpec, GatePolicy, Layout, RunSettings
 
 DICTIONARIES = ("zones", "payment_type", "ratecode", "vendor", "store_flag", "dim_date")
@@ -78,6 +82,12 @@ class Run:
     def table(self, name: str) -> str:
         return f"{self.layout.root.rstrip('/')}/warehouse/{name}"
 
+    def fact(self, schema: StructType | None = None) -> MonthTable:
+        """The warehouse fact in the catalogue; `schema` is needed when it may not exist yet."""
+        root = self.table("fact_trips")
+        name = f"fact_trips_{zlib.crc32(root.encode()):08x}"
+        return MonthTable(self.spark, name, root) if schema is None else open_months(self.spark, name, root, schema)
+
     def path(self, layer: str) -> str:
         return self.layout.month(layer, self.year, self.month)
 
@@ -111,7 +121,7 @@ def _write_step(
     seen_in, seen_out = Observation(f"{step} in"), Observation(step)
     planned = partition_count(source)
     started = time.monotonic()
-    counted = source.observe(seen_in, F.count(F.lit(1)).alias("rows"))
+    counted = spread_out(source).observe(seen_in, F.count(F.lit(1)).alias("rows"))
     path = write_layer(change(counted), run.layout, layer, run.year, run.month, codec=run.settings.codec,
                        files=run.settings.files_per_month, seen=seen_out)
     wall = round(time.monotonic() - started, 3)
@@ -181,8 +191,10 @@ def trip_lookups(dims: Mapping[str, DataFrame]) -> list[Lookup]:
     ]
 
 
-def wide_rows(silver: DataFrame, dims: Mapping[str, DataFrame], strategy: str = "auto") -> DataFrame:
-    return star_join(join_keys(silver), trip_lookups(dims), strategy)
+def wide_rows(
+    silver: DataFrame, dims: Mapping[str, DataFrame], strategy: str = "auto", *, from_files: bool = True,
+) -> DataFrame:
+    return star_join(join_keys(silver), trip_lookups(dims), strategy, from_files=from_files)
 
 
 @_with_settings
@@ -191,7 +203,7 @@ def to_wide(run: Run, overrides: dict[str, str] | None = None) -> StepRecord:
     dims = read_dictionaries(run.spark, run.layout, DICTIONARIES, overrides)
     strategy = "auto" if run.settings.broadcast_small else "merge"
     return _write_step(run, "silver_join", "silver_wide", run.layer("silver"),
-                       lambda df: wide_rows(df, dims, strategy))
+                       lambda df: wide_rows(df, dims, strategy, from_files=False))
 
 
 @_with_settings
@@ -200,7 +212,7 @@ def to_export(run: Run) -> tuple[StepRecord, Export]:
     started = time.monotonic()
     silver = run.layer("silver")
     seen = Observation("export")
-    rows = to_export_rows(silver, run.spec, run.layout.experiment).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = to_export_rows(spread_out(silver), run.spec, run.layout.experiment).observe(seen, F.count(F.lit(1)).alias("rows"))
     done = export_csv(rows, run.path("export"), export_name("fact_trips", run.year, run.month),
                       run.settings.export_mode, run.settings.files_per_month)
     wall = round(time.monotonic() - started, 3)
@@ -217,27 +229,53 @@ def read_export(spark: SparkSession, folder: str, spec: FactSpec) -> DataFrame:
     return text.select(*[F.col(c).cast(types[c]).alias(c) for c in spec.export])
 
 
+#: Columns of the fact whose statistics the optimizer gets after a load.
+ANALYZED = ("vendor_id", "ratecode_id", "payment_type", "pu_zone_id", "do_zone_id", "pickup_date_id", "dropoff_date_id")
+
+
+@contextmanager
+def _named_jobs(spark: SparkSession, group: str) -> Iterator[None]:
+    """Jobs inside the block carry the group's name, also in the event log."""
+    context = spark.sparkContext
+    key = "spark.jobGroup.id"
+    before = context.getLocalProperty(key)
+    context.setLocalProperty(key, group)
+    try:
+        yield
+    finally:
+        context.setLocalProperty(key, before)
+
+
 @_with_settings
 def load(run: Run, export: Export, dims: Mapping[str, DataFrame] | None = None) -> LoadReport:
-    """Exported CSV into the month of the warehouse fact, with rates and fresh statistics."""
-    rows = read_export(run.spark, export.folder, run.spec)
+    """Exported CSV into the month of the warehouse fact, with rates and fresh statistics.
+
+    With an event log the times of the single parts, their sum and the longest, come along.
+    """
+    spark = run.spark
+    rows = read_export(spark, export.folder, run.spec)
     keys = []
     if dims:
         keys = [ForeignKey(x.on, x.dim, x.key) for x in trip_lookups(dims)
                 if x.on != run.spec.flag]
-    path = run.table("fact_trips")
-    done = load_month(rows, path, run.year, run.month, flag=run.spec.flag,
-                      allowed=(*run.spec.flag_values, run.spec.flag_unknown), foreign_keys=keys)
+    table = run.fact(stamped_schema(rows))
+    group = f"load {run.run_id} {run.year}-{run.month:02d} {time.time_ns()}"
+    with _named_jobs(spark, group):
+        done = load_month(rows, table, run.year, run.month, flag=run.spec.flag,
+                          allowed=(*run.spec.flag_values, run.spec.flag_unknown), foreign_keys=keys,
+                          mib_in=files_mib(spark, export.folder, export.files))
     started = time.monotonic()
-    name = f"fact_{uuid.uuid4().hex}"
-    register(run.spark, name, path)
-    analyze(run.spark, name, *((run.year, run.month) if done.rows_loaded else ()))
-    run.spark.sql(f"DROP TABLE {name}")  # external: its files stay
+    analyze(spark, table.name, *((run.year, run.month) if done.rows_loaded else ()),
+            columns=[c for c in ANALYZED if c in rows.columns])
+    analyzed = round(time.monotonic() - started, 3)
+    parts = {}
+    if run.event_log_dir:
+        events = read_event_log(spark, run.event_log_dir, spark.sparkContext.applicationId)
+        parts = part_totals(part_times(events, group)).first().asDict()
     report = done.record()
     step = "dwh_parallel" if len(export.files) > 1 else "dwh_single"
     record_step(run, StepRecord(step, run.year, run.month, done.rows_loaded, report.pop("rows_out"), report.pop("wall_sec"), {
-        **report, "files_in": len(export.files), "table_bytes_mb": done.mib,
-        "analyze_sec": round(time.monotonic() - started, 3)}))
+        **report, **parts, "files_in": len(export.files), "table_bytes_mb": done.mib, "analyze_sec": analyzed}))
     return done
 
 

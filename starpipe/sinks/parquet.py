@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starpipe.sinks.files import remove_folder
@@ -61,6 +63,52 @@ def replace_months(
         .option("compression", codec).partitionBy("year", "month").parquet(path))
 
 
+def write_ordered(
+    df: DataFrame, path: str, by: Sequence[str], *, files: int | None = None, codec: str = "snappy",
+    group_rows: int | None = None,
+) -> None:
+    """Overwrite a folder with rows in one order over all files: by file name, then within a file.
+
+    Bounds between files are sampled ranges of `by` and, behind it, of a hash of the row, so that
+    many rows of one value are split over several files and stay next to each other. Each file,
+    and each row group of about `group_rows` rows, holds a narrow range, which readers skip by.
+    """
+    tie = unused_name(df, "tie")
+    keyed = df.withColumn(tie, F.xxhash64(*df.columns))
+    keys = [*by, tie]
+    spread_out = keyed.repartitionByRange(files, *keys) if files else keyed.repartitionByRange(*keys)
+    writer = spread_out.sortWithinPartitions(*keys).drop(tie).write.mode("overwrite").option("compression", codec)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
+
+
+def unused_name(df: DataFrame, wanted: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
+def order_breaks(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """rows_total, files, rows_out_of_order, files_out_of_order of a folder that should be in order.
+
+    Rows are compared with the one before in their file, files by their first and last row: one
+    row per file is compared in one task.
+    """
+    rows = spark.read.parquet(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*by).alias("key"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    ends = rows.withColumn("before", before).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("key") < F.col("before")).alias("breaks"),
+        F.min("key").alias("low"), F.max("key").alias("high"))
+    earlier = F.lag("high").over(Window.orderBy("file"))
+    return ends.withColumn("earlier", earlier).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_total"), F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("breaks"), F.lit(0)).alias("rows_out_of_order"),
+        F.count_if(F.col("low") < F.col("earlier")).alias("files_out_of_order"))
+
+
 def write_dictionary(df: DataFrame, path: str) -> None:
     """A dictionary as its tasks hold it."""
     write_parquet(df, path)

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starpipe.sinks.files import folder_names
 
 
 def read_first(paths: Sequence[str], reader: Callable[[str], DataFrame]) -> DataFrame:
@@ -66,11 +67,47 @@ def select_months(
     return df.where(F.col(year).isin(*years) & F.col(month).isin(*months))
 
 
+def in_listed_months(df: DataFrame, months: DataFrame) -> DataFrame:
+    """Rows of the months that another table lists (`year`, `month`; twelve rows a year).
+
+    Over a table partitioned by month the list prunes partitions when the query runs, whatever
+    it is derived from: it is read first, and only the folders of its months are opened.
+    """
+    listed = F.broadcast(months.select(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")))
+    return df.join(listed, ["year", "month"], "left_semi").select(*df.columns)
+
+
+def landed_months(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """Months that a folder partitioned by year and month has, from its listing alone.
+
+    A month counts once its folder has a file; nothing of the files is read.
+    """
+    def numbers(folder, prefix):
+        names = [n.removeprefix(prefix) for n in folder_names(spark, folder) if n.startswith(prefix)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    return [(y, m) for y in numbers(root, "year=") for m in numbers(f"{root}/year={y}", "month=")
+            if any(not n.startswith(("_", ".")) for n in folder_names(spark, f"{root}/year={y}/month={m}"))]
+
+
+def not_landed(incoming: DataFrame, landed: Iterable[tuple[int, int]], force: bool = False) -> DataFrame:
+    """Rows of months that the ledger does not have, or all of them when forced.
+
+    `landed` are months as `landed_months` gives them. They are known when the query is planned,
+    so landed partitions of `incoming` are not opened either. Rows without a month are new.
+    """
+    known = sorted({y * 100 + m for y, m in landed})
+    if force or not known:
+        return incoming
+    return incoming.where(F.coalesce(~(F.col("year") * 100 + F.col("month")).isin(*known), F.lit(True)))
+
+
 def new_months(incoming: DataFrame, landed: DataFrame, force: bool = False) -> DataFrame:
-    """Rows of months not landed yet, or all of them when forced.
+    """Rows of months that another table does not have, or all of them when forced.
 
     Both sides carry `year` and `month`. The landed side shrinks to its distinct months, twelve a
-    year, which are broadcast: shuffling by so few keys would put a large month into one task.
+    year, which are broadcast: shuffling by so few keys would put a large month into one task. For
+    a table partitioned by month `not_landed` knows them without reading it.
     """
     if force:
         return incoming

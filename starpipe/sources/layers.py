@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starpipe.sources.landing import read_first
+from starpipe.sources.records import partition_count
 from starpipe.spec import Layout
 
 
@@ -18,6 +19,15 @@ def read_layer(
     return read_first(paths if fallback else paths[:1], spark.read.parquet)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table comes in fewer pieces than there are; else as they are.
+
+    A file of one row group is read by one task, which would do all the work behind it alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if partition_count(df) >= cores else df.repartition(cores)
+
+
 def read_dictionaries(
     spark: SparkSession, layout: Layout, names: tuple[str, ...],
     overrides: dict[str, str] | None = None,

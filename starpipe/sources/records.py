@@ -15,8 +15,13 @@ from starpipe.sources.landing import read_first
 # The part of the public event-log format the statistics need.
 EVENT_SCHEMA = """
     `Event` string,
+    `Stage ID` int,
+    `Stage IDs` array<int>,
+    `Properties` map<string, string>,
     `Stage Info` struct<`Stage ID`: int>,
+    `Task Info` struct<`Task ID`: bigint, `Launch Time`: bigint, `Finish Time`: bigint, `Failed`: boolean>,
     `Task Metrics` struct<
+        `Input Metrics`: struct<`Bytes Read`: bigint, `Records Read`: bigint>,
         `Executor Run Time`: bigint, `JVM GC Time`: bigint,
         `Memory Bytes Spilled`: bigint, `Disk Bytes Spilled`: bigint,
         `Shuffle Read Metrics`: struct<`Remote Bytes Read`: bigint, `Local Bytes Read`: bigint,
@@ -79,10 +84,37 @@ def event_log_stats(events: DataFrame) -> DataFrame:
     )
 
 
-def read_metrics(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    """Metrics JSON of a step: the first of the paths that exists."""
+def part_times(events: DataFrame, group: str) -> DataFrame:
+    """stage, task, seconds, rows, mib of the tasks that read the input of a group of jobs.
+
+    That is the first of its stages whose tasks read rows: later ones read what it staged. Failed
+    attempts do not count.
+    """
+    named = events.where((F.col("Event") == "SparkListenerJobStart") & (F.col("Properties")["spark.jobGroup.id"] == group))
+    stages = named.select(F.explode("`Stage IDs`").alias("stage")).distinct()
+    info, metrics = "`Task Info`", "`Task Metrics`.`Input Metrics`"
+    tasks = events.where((F.col("Event") == "SparkListenerTaskEnd") & ~F.coalesce(F.col(f"{info}.`Failed`"), F.lit(False))).select(
+        F.col("`Stage ID`").alias("stage"), F.col(f"{info}.`Task ID`").alias("task"),
+        ((F.col(f"{info}.`Finish Time`") - F.col(f"{info}.`Launch Time`")) / 1000.0).alias("seconds"),
+        F.col(f"{metrics}.`Records Read`").alias("rows"), (F.col(f"{metrics}.`Bytes Read`") / MIB).alias("mib"))
+    read = tasks.where("rows > 0").join(F.broadcast(stages), "stage", "left_semi")
+    first = read.agg(F.min("stage")).scalar()
+    return read.where(F.col("stage") == first)
+
+
+def part_totals(parts: DataFrame) -> DataFrame:
+    """Number of parts, the sum of their seconds and the longest, as one row."""
+    return parts.agg(
+        F.count(F.lit(1)).alias("parts"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 3).alias("copy_sec_sum"),
+        F.round(F.max("seconds"), 3).alias("copy_sec_max"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_read"))
+
+
+def read_metrics(
+    spark: SparkSession, paths: Sequence[str], schema: str | None = None, lines: bool = False,
+) -> DataFrame:
+    """Metrics JSON of a step: the first of the paths that exists. One record a file, or one a line."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return read_first(paths, reader.option("multiLine", True).json)
+    return read_first(paths, reader.option("multiLine", not lines).json)
 
 
 def read_metric_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -63,6 +63,30 @@ def test_new_months(spark):
     assert landing.select_months(df, [2021, 2022], [1]).count() == 2
 
 
+def test_months_of_a_partitioned_table_are_pruned_by_a_list(spark, tmp_path):
+    """Files of months that the list lacks are broken: reading any of them would fail."""
+    df = spark.range(24).select("id", (2020 + F.col("id") % 2).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
+    root = tmp_path / "t"
+    parquet.replace_months(df, str(root))
+    for folder in root.glob("year=*/month=*"):
+        if folder.name not in ("month=2", "month=4"):
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not parquet")
+                (folder / f".{file.name}.crc").unlink()
+    wanted = spark.range(6).select(F.lit(2021).alias("year"), (F.col("id") + 1).cast("int").alias("month"), "id").where("id % 2 = 1 AND id < 5")
+    picked = landing.in_listed_months(spark.read.schema(df.schema).parquet(str(root)), wanted)
+    assert {r["id"] for r in picked.collect()} == {1, 13, 3, 15}
+    assert "dynamicpruning" in picked._jdf.queryExecution().executedPlan().toString()
+    landed = landing.landed_months(spark, str(root))
+    assert sorted(landed) == sorted({(r["year"], r["month"]) for r in df.collect()})
+    assert landing.landed_months(spark, str(tmp_path / "nothing")) == []
+    more = df.unionByName(spark.createDataFrame([(99, 2022, 1), (100, None, None)], df.schema))
+    assert {r["id"] for r in landing.not_landed(more, landed).collect()} == {99, 100}
+    assert landing.not_landed(more, landed, force=True).count() == 26
+    plan = landing.not_landed(df, landed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()
+
+
 def test_layer_falls_back_to_the_folder_without_trial(spark, tmp_path):
     base, trial = Layout(str(tmp_path), "e"), Layout(str(tmp_path), "e", trial=2)
     with pytest.raises(FileNotFoundError, match="trial=2"):
@@ -115,6 +139,49 @@ def test_unknown_csv_mode(spark, tmp_path):
         csv_sink.export_csv(spark.range(1), str(tmp_path), "t", "zip")
 
 
+def test_merge_reads_no_part_again(spark, tmp_path, monkeypatch):
+    """Parts are joined by the file system, and by one text writer where it cannot; both give the same bytes."""
+    df = spark.range(50).select("id", F.concat(F.lit('a,"b"\nsecond line '), "id").alias("te,xt"), F.lit(None).cast("string").alias("e"))
+
+    def merged(folder, frame):
+        done = csv_sink.export_csv(frame, str(tmp_path / folder), "t", "parallel_write_then_merge", 4)
+        return (tmp_path / folder / done.files[0]).read_text()
+
+    def unwanted(*_):
+        raise AssertionError("parts are read as CSV")
+
+    monkeypatch.setattr(landing, "read_csv_text", unwanted)
+    joined = merged("joined", df)
+    monkeypatch.setattr(csv_sink, "can_join_files", lambda *_: False)
+    assert merged("texts", df) == joined and joined.startswith('id,"te,xt",e\n')
+    assert merged("empty", df.where("false")) == 'id,"te,xt",e\n'
+    monkeypatch.undo()
+    assert merged("empty", df.where("false")) == 'id,"te,xt",e\n'
+    back = spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "joined"))
+    assert back.columns == ["id", "te,xt", "e"] and back.count() == 50
+
+
+def test_ordered_files(spark, tmp_path):
+    """One value holds a third of all rows: it is split over files, and the order still holds."""
+    key = F.when(F.col("id") % 3 == 0, 500).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000))).cast("int")
+    df = spark.range(30_000).select(key.alias("k"), "id", F.lit(0).alias("tie"))
+    parquet.write_ordered(df, str(tmp_path / "o"), ("k",), files=8, group_rows=500)
+    row = parquet.order_breaks(spark, str(tmp_path / "o"), ("k",)).first()
+    assert tuple(row) == (30_000, 8, 0, 0)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "o")).groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 30_000 / 4
+    assert spark.read.parquet(str(tmp_path / "o")).columns == ["k", "id", "tie"]
+    parquet.write_parquet(df.repartition(3), str(tmp_path / "u"))
+    assert parquet.order_breaks(spark, str(tmp_path / "u"), ("k",)).first()["rows_out_of_order"] > 1000
+
+
+def test_part_times_of_a_load(spark, sf_dir):
+    from starpipe.catalog import registry
+
+    whole = registry.load_part_times(spark, sf_dir).first()
+    assert whole["parts"] > 0 and whole["copy_sec_max"] <= whole["copy_sec_sum"]
+
+
 @pytest.fixture
 def months(spark):
     return spark.createDataFrame(
@@ -122,15 +189,14 @@ def months(spark):
 
 
 def test_load_replaces_one_month_or_nothing(spark, tmp_path, months):
-    path = str(tmp_path / "fact")
-    parquet.replace_months(warehouse.stamp(months), path)
+    fact = month_table(spark, tmp_path, months)
     january = months.where("month = 1").withColumn("id", F.col("id") + 100)
 
     def load(df, month):
-        return warehouse.load_month(df, path, 2021, month, flag="flag", allowed=("Y", "N"))
+        return warehouse.load_month(df, fact, 2021, month, flag="flag", allowed=("Y", "N"))
 
     assert load(january, 1).rows_loaded == 5
-    table = spark.read.parquet(path)
+    table = fact.read()
     assert {r["id"] for r in table.collect()} == {100, 102, 104, 106, 108, 1, 3, 5, 7, 9}
     assert table.select("trip_id").distinct().count() == 10
     assert table.where("load_dt IS NULL").count() == 0
@@ -138,7 +204,48 @@ def test_load_replaces_one_month_or_nothing(spark, tmp_path, months):
     for stray in (months, january.withColumn("flag", F.lit("X"))):
         with pytest.raises(LoadRejected):
             load(stray, 1)
-    assert sorted(map(str, spark.read.parquet(path).collect())) == before
+    assert sorted(map(str, fact.read().collect())) == before
+    fact.drop()
+
+
+def test_a_write_that_dies_leaves_the_month(spark, tmp_path, months):
+    """Half of the new version is written when its other half fails; readers never see it."""
+    fact = month_table(spark, tmp_path, months)
+    before = sorted(map(str, fact.read().collect()))
+    kept = fact.current(2021, 1)
+    january = warehouse.stamp(months.where("month = 1").repartition(2, F.col("id") > 3))
+    dying = january.withColumn("flag", F.when(F.col("id") > 3, F.raise_error(F.lit("killed"))).otherwise(F.lit("N")))
+    with pytest.raises(Exception, match="killed"):
+        fact.replace(dying, 2021, 1)
+    assert sorted(map(str, fact.read().collect())) == before and fact.current(2021, 1) == kept
+    written = fact.write_version(january, 2021, 1)  # a load that dies just before its switch
+    assert sorted(map(str, fact.read().collect())) == before
+    assert fact.complete(2021, 1) == [kept, written] and len(fact.versions(2021, 1)) == 3
+    fact.drop()
+    again = warehouse.open_months(spark, "fact_again", str(tmp_path / "fact"), warehouse.stamp(months).schema)
+    assert again.current(2021, 1) == written  # without a catalogue the latest complete version counts
+    again.drop()
+
+
+def test_superseded_versions_go(spark, tmp_path, months):
+    fact = month_table(spark, tmp_path, months)
+    january = months.where("month = 1")
+    reader, files = fact.read().where("month = 1"), None
+    for n in range(3):
+        if n == 1:
+            reader = fact.read().where("month = 1")
+            files = reader.inputFiles()
+        fact.replace(warehouse.stamp(january.withColumn("id", F.col("id") + 10 * n)), 2021, 1)
+    assert len(fact.versions(2021, 1)) == 2 and files
+    assert {r["id"] for r in fact.read().where("month = 1").collect()} == {20, 22, 24, 26, 28}
+    fact.drop()
+
+
+def month_table(spark, tmp_path, months):
+    stamped = warehouse.stamp(months)
+    fact = warehouse.open_months(spark, f"fact_{abs(hash(str(tmp_path)))}", str(tmp_path / "fact"), stamped.schema)
+    fact.replace_months(stamped)
+    return fact
 
 
 def test_month_scan_prunes_partitions(spark, tmp_path, months):
@@ -198,11 +305,11 @@ def test_report_texts(spark):
 
 
 def test_an_empty_month_empties_the_table_month(spark, tmp_path, months):
-    path = str(tmp_path / "fact")
-    parquet.replace_months(warehouse.stamp(months), path)
-    done = warehouse.load_month(months.where("false"), path, 2021, 1, flag="flag", allowed=("Y",))
-    assert (done.rows_loaded, done.mib) == (0, 0.0)
-    assert {r["month"] for r in spark.read.parquet(path).collect()} == {2}
+    fact = month_table(spark, tmp_path, months)
+    done = warehouse.load_month(months.where("false"), fact, 2021, 1, flag="flag", allowed=("Y",))
+    assert done.rows_loaded == 0
+    assert {r["month"] for r in fact.read().collect()} == {2}
+    fact.drop()
 
 
 def test_surrogate_keys_have_no_task_limit(spark):

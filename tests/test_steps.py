@@ -88,7 +88,7 @@ def test_export_and_load(run, mode, files):
     assert back.columns == list(trips.EXPORT_COLUMNS)
     dims = read_dictionaries(run.spark, run.layout, steps.DICTIONARIES)
     assert steps.load(month, done, dims).rows_loaded == 4
-    fact = run.spark.read.parquet(month.table("fact_trips"))
+    fact = month.fact().read()
     quality = steps.load_quality(fact, steps.F.lit(4)).first()
     assert (quality["rowcount_mismatch_pct"], quality["negative_total_pct"]) == (0.0, 25.0)
 
