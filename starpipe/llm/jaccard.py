@@ -29,7 +29,7 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 ORDER_SEEDS = (np.uint64(0), np.uint64(0xA5A5A5A5C3C3C3C3))
-SETS = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "n", "high", "low")), ("parity", pa.binary())])
+SETS = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "n", "high", "low", "mark")), ("parity", pa.binary())])
 PREFIXES = pa.schema([("in_order", pa.int32()), ("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -111,17 +111,17 @@ def _sets(config: Similarity):
         token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n > 2].view(np.int64), n[n > 2]
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(c) for c in (np.ones(len(n), np.int64), token, n, *np.zeros((2, len(n)), np.int64))),
+            [*(pa.array(c) for c in (np.ones(len(n), np.int64), token, n, *np.zeros((3, len(n)), np.int64))),
              pa.nulls(len(n), pa.binary())], schema=SETS)
 
     def rows(batches):
         held, size, seen = [], 0, set()
         for batch in byte_slices(batches, "text", 1 << 20):
             out = []
-            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(),
-                                      shingle_sets(batch.column("text").to_pylist(), config.words)):
+            for doc_id, mark, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(),
+                                            shingle_sets(batch.column("text").to_pylist(), config.words)):
                 high, low = _key(tokens)
-                out.append((0, doc_id, len(tokens), high, low, signatures([tokens]).tobytes()))
+                out.append((0, doc_id, len(tokens), high, low, mark, signatures([tokens]).tobytes()))
                 if low not in seen:
                     seen.add(low)
                     held.append(tokens)
@@ -321,11 +321,17 @@ def linked(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
     linked and have a null component. Rows sharing an id are documents of the same name. No
     documents give no rows.
     """
-    spark = docs.sparkSession
+    narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text", "CAST(NULL AS BIGINT) AS mark")
+    return _linked(narrow, config).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(narrow: DataFrame, config: Similarity) -> DataFrame:
+    """doc_id, mark, n, component_id of each row (doc_id, text, mark); the mark is carried along."""
+    spark = narrow.sparkSession
     python_tasks(spark)
-    narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     named = narrow.where("doc_id IS NOT NULL")
-    sets = stored(narrow.mapInArrow(_sets(config), "kind long, doc_id long, n long, high long, low long, parity binary"), "jaccard-sets")
+    sets = stored(narrow.mapInArrow(
+        _sets(config), "kind long, doc_id long, n long, high long, low long, mark long, parity binary"), "jaccard-sets")
     common = sets.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "token").limit(config.frequent).toArrow()
     token, count = (common.column(c).to_numpy() for c in ("token", "n"))
@@ -352,25 +358,41 @@ def linked(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
         "high", "low", F.coalesce("component", "rep").alias("component_id"))
     full = merge_lookup(of_kind.where("n > 0 AND doc_id IS NOT NULL"), named_reps, ["high", "low"], "inner")
     rest = of_kind.where("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    return full.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(rest).select("doc_id", "mark", "n", "component_id")
 
 
 def one_of_each(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
-    """The rows of `docs` without those linked to a smaller doc_id; rows without doc_id stay.
+    """One row of `docs` of each group of linked texts, the one of the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Only rows that may be affected are exchanged: at most
-    `slots` slots of affected ids are broadcast, and rows outside them pass as they are.
+    Rows are judged by id and text, named by a hash of both: a text that is like no other stays,
+    whatever other rows have its id, and equal rows are a group. Rows without id rank behind those
+    with one, rows of one id by that hash. Texts without words are like nothing and all stay. Only
+    rows that may be affected are exchanged: `slots` slots at most are broadcast, others pass as they are.
     """
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(config.slots))
-    groups = linked(docs, config).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("component_id") != F.col("doc_id")).alias("__drop"), F.count("doc_id").alias("__rows"))
-    affected = stored(groups.where("__drop OR __rows > 1").withColumnRenamed("doc_id", "__id"), "jaccard-affected")
-    slots = F.broadcast(affected.select(F.pmod(F.xxhash64("__id"), F.lit(config.slots)).alias("__slot")).distinct())
-    placed = docs.withColumn("__slot", slot)
-    sure = placed.join(slots, "__slot", "left_anti").select(*docs.columns)
-    maybe = placed.join(slots, "__slot", "left_semi")
-    judged = maybe.join(affected.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left").where(
-        "NOT coalesce(__drop, false)")
-    single = judged.where("coalesce(__rows, 1) = 1").select(*docs.columns)
-    shared = judged.where("__rows > 1").dropDuplicates(["__id"]).select(*docs.columns)
-    return sure.unionByName(single).unionByName(shared)
+    key, slot, drop, rows = _unused(docs, ("key", "slot", "drop", "rows"))
+    own, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    named = docs.withColumn(key, F.xxhash64(own, text))
+    found = _linked(named.select(F.col(key).alias("doc_id"), text.alias("text"), own.alias("mark")), config)
+    rank = F.struct(F.col("mark").isNull(), "mark", "doc_id")
+    each = stored(found.where("n > 0").groupBy("component_id", "doc_id", "mark").agg(F.count("n").alias("n")), "jaccard-judged")
+    first = each.groupBy("component_id").agg(F.min(rank).alias("first"))
+    judged = merge_lookup(each, first, ["component_id"], "inner").select(
+        F.col("doc_id").alias(key), F.col("n").alias(rows), (~rank.eqNullSafe(F.col("first"))).alias(drop))
+    affected = stored(judged.where(F.col(drop) | (F.col(rows) > 1)), "jaccard-affected")
+    place = F.pmod(F.xxhash64(key), F.lit(config.slots))
+    slots = F.broadcast(affected.select(place.alias(slot)).distinct())
+    placed = named.withColumn(slot, place)
+    sure = placed.join(slots, slot, "left_anti").select(*docs.columns)
+    maybe = placed.join(slots, slot, "left_semi")
+    left = maybe.join(affected.hint("merge"), key, "left").where(~F.coalesce(F.col(drop), F.lit(False)))
+    single = left.where(F.coalesce(F.col(rows), F.lit(1)) == 1).select(*docs.columns)
+    several = left.where(F.col(rows) > 1).dropDuplicates([key]).select(*docs.columns)
+    return sure.unionByName(single).unionByName(several)
+
+
+def _unused(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """The names, with as many underscores in front as no column of `df` has."""
+    taken, front = {c.lower() for c in df.columns}, "_"
+    while any(front + n in taken for n in names):
+        front += "_"
+    return [front + n for n in names]

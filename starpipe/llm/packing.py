@@ -11,7 +11,7 @@ lengths are powers of two, so there is no padding.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -29,6 +29,7 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 ARROW = pa.schema([(n, pa.int64()) for n in
                    ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 END_ID = 1
+LONG_RUN = 50_000
 
 
 @dataclass(frozen=True)
@@ -45,20 +46,48 @@ class Packing:
 
 
 @cache
-def tokenizer(ranks_path: str | None):
-    """The public byte-level vocabulary; special strings in a text are ordinary text."""
+def tokenizer(vocabulary_path: str | None):
+    """The public byte-level vocabulary with its added tokens, as the library reads it."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(vocabulary_path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@cache
+def fast_tokenizer(vocabulary_path: str | None):
+    """The same vocabulary in the faster library; its added tokens are found in texts as well.
+
+    Names of tokens spell bytes by printable characters: bytes that are printable in Latin-1 stand
+    for themselves, the others are numbered from 256 on.
+    """
     import public_tokenizers
     import tiktoken
 
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={})
+    spelt = {chr(b): b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    spelt |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in spelt)}
+    known = tokenizer(vocabulary_path)
+    special = {t.content: i for i, t in known.get_added_tokens_decoder().items()}
+    ranks = {bytes(spelt[c] for c in name): i for name, i in known.get_vocab(with_added_tokens=False).items() if name not in special}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def has_long_run(text: str) -> bool:
+    """Whether white space runs on for LONG_RUN characters, in one look at the text."""
+    return len(text) >= LONG_RUN and max(map(len, re.findall(r"\s+", text)), default=0) >= LONG_RUN
 
 
-def token_ids(text: str | None, ranks_path: str | None = None) -> np.ndarray:
-    ids = tokenizer(ranks_path).encode_ordinary(text or "")
+def token_ids(text: str | None, vocabulary_path: str | None = None) -> np.ndarray:
+    """Ids of a text and the end id.
+
+    Both libraries give the same ids. The faster one recurses over a run of white space and cannot
+    take a very long one, so the other takes texts that hold one.
+    """
+    text = text or ""
+    if has_long_run(text):
+        ids = tokenizer(vocabulary_path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = fast_tokenizer(vocabulary_path).encode(text, allowed_special="all", disallowed_special=())
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
@@ -111,7 +140,7 @@ def assign(lengths: list[int], plan: Packing) -> list[tuple[int, int, int, int,
     return pieces
 
 
-def _packer(plan: Packing, ranks_path: str | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(plan: Packing, vocabulary_path: str | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches):
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 33
@@ -129,7 +158,7 @@ def _packer(plan: Packing, ranks_path: str | None) -> Callable[[Iterable[pa.Reco
 
         for batch in byte_slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = token_ids(text, ranks_path)
+                ids = token_ids(text, vocabulary_path)
                 docs.append((doc_id, ids))
                 held += len(ids)
                 if held >= plan.window:
@@ -140,13 +169,13 @@ def _packer(plan: Packing, ranks_path: str | None) -> Callable[[Iterable[pa.Reco
     return pack
 
 
-def pack_documents(docs: DataFrame, plan: Packing = Packing(), ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, plan: Packing = Packing(), vocabulary_path: str | None = None) -> DataFrame:
     """One row per piece of each row of `docs` (doc_id, text; other columns are not read).
 
     A null text is empty, an empty text is the end id alone, repeated rows are packed each for
-    itself, a null doc_id stays null, no documents give no rows. `ranks_path` is a file of the
+    itself, a null doc_id stays null, no documents give no rows. `vocabulary_path` is a file of the
     vocabulary that every executor can open; unset, the installed public one.
     """
     python_tasks(docs.sparkSession)
     narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    return narrow.mapInArrow(_packer(plan, ranks_path), SCHEMA)
+    return narrow.mapInArrow(_packer(plan, vocabulary_path), SCHEMA)

@@ -37,7 +37,7 @@ class Repeats:
 
     length: int = 400
     gram: int = 128
-    unit_bytes: int = 4 << 20
+    unit_bytes: int = 1 << 20
     crowd: int = 4096
     slots: int = 1 << 20
 
@@ -145,29 +145,34 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.n
     `text` has bytes plus one, and 0 where a region ends; wanted suffixes have `depth` symbols.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
+    padded = np.concatenate([np.minimum(text, 255).astype(np.uint8), np.zeros(depth + 8, np.uint8)])
     words = np.zeros(n + depth, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | np.minimum(padded[k:k + n + depth], 255).astype(np.uint64)
+    for k in range(8):  # in place: these arrays are the largest here
+        np.left_shift(words, np.uint64(8), out=words)
+        np.bitwise_or(words, padded[k:k + n + depth], out=words)
+    del padded
     # A suffix is small if its first different symbol is larger than its first.
-    change = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    run_end = change[np.searchsorted(change, np.arange(n))]
-    following = np.append(text, 0)[run_end + 1]
-    small = (following > text) | (text == 0)
+    places = np.arange(n, dtype=np.int32)
+    run_end = np.where(np.append(text[1:] != text[:-1], True), places, np.int32(n))
+    run_end = np.minimum.accumulate(run_end[::-1])[::-1]
+    small = (np.append(text, 0)[run_end + 1] > text) | (text == 0)
     # Larger suffixes need their successors, up to the next small one.
     needed = wanted.copy()
-    next_small = np.where(small, np.arange(n), n)
+    next_small = np.where(small, places, np.int32(n))
     next_small = np.minimum.accumulate(next_small[::-1])[::-1]
-    reach = np.zeros(n + 2, np.int64)
+    del places
+    reach = np.zeros(n + 2, np.int32)
     tails = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
     np.add.at(reach, tails, 1)
     np.add.at(reach, np.minimum(next_small[tails], n - 1) + 1, -1)
-    needed |= np.cumsum(reach)[:n] > 0
+    del next_small
+    needed |= np.cumsum(reach, dtype=np.int32)[:n] > 0
+    del reach
 
-    sorted_small = _direct(words, np.flatnonzero(needed & small), depth)
-    rank = np.zeros(n + 1, np.int64)
+    sorted_small = _direct(words, np.flatnonzero(needed & small).astype(np.int32), depth)
+    rank = np.zeros(n + 1, np.int32)
     small_from = np.searchsorted(text[sorted_small], np.arange(258))
-    large = np.flatnonzero(needed & ~small)
+    large = np.flatnonzero(needed & ~small).astype(np.int32)
     level = run_end[large] - large
     by = np.lexsort((level, text[large]))
     large, level = large[by], level[by]
@@ -181,11 +186,11 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.n
         # Larger suffixes come first in a bucket, shorter runs of its symbol before longer ones.
         for run in by_symbol.get(symbol, ()):
             run = run[np.argsort(rank[run + 1], kind="stable")]
-            rank[run] = done + np.arange(len(run))
+            rank[run] = np.arange(done, done + len(run), dtype=np.int32)
             order.append(run)
             done += len(run)
         block = sorted_small[small_from[symbol]:small_from[symbol + 1]]
-        rank[block] = done + np.arange(len(block))
+        rank[block] = np.arange(done, done + len(block), dtype=np.int32)
         order.append(block)
         done += len(block)
     return np.concatenate(order), words
@@ -199,10 +204,10 @@ def repeated_starts(regions: list[bytes], starts: list[int], length: int) -> np.
     inside = np.ones(len(text), bool)
     inside[begins + sizes] = False
     text[inside] = np.frombuffer(b"".join(regions), np.uint8).astype(np.uint16) + 1
-    wanted = np.zeros(len(text) + 1, np.int64)
+    wanted = np.zeros(len(text) + 1, np.int32)
     np.add.at(wanted, begins, 1)
     np.add.at(wanted, begins + np.array(starts), -1)
-    wanted = np.cumsum(wanted)[:-1] > 0
+    wanted = np.cumsum(wanted, dtype=np.int32)[:-1] > 0
     order, words = suffix_order(text, wanted, length)
     order = order[wanted[order]]
     one, two = order[:-1], order[1:]
@@ -210,7 +215,7 @@ def repeated_starts(regions: list[bytes], starts: list[int], length: int) -> np.
     for offset in [*range(0, length - 8, 8), length - 8]:
         equal = equal[words[one[equal] + offset] == words[two[equal] + offset]]
     # Words hold 255 for the two highest bytes; those never occur in UTF-8.
-    return np.unique(np.concatenate([one[equal], two[equal]]))
+    return np.unique(np.concatenate([one[equal], two[equal]])).astype(np.int64)
 
 
 COVERED = pa.schema([("token", pa.int64()), ("region", pa.int64()), ("start", pa.int32()), ("past", pa.int32())])
@@ -293,7 +298,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def _finish(batches):
-    for batch in byte_slices(batches, "text"):
+    for batch in byte_slices(batches, "text", 1 << 20):
         out = []
         for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
             raw, at, digest = (text or "").encode(), 0, hashlib.sha256()
@@ -318,7 +323,9 @@ def covered(texts: DataFrame, found: DataFrame, config: Repeats) -> DataFrame:
     several = stored(found.groupBy("token").agg(
         F.count("region").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).where("n > 1")
         .select("token", (F.col("low") != F.col("high")).alias("contested")), "repeat-anchors")
-    again = stored(merge_lookup(found, several, ["token"], "inner"), "repeat-occurrences")
+    # Copies of a text in several tasks bring the same anchors; one copy stands for all.
+    again = stored(merge_lookup(found, several, ["token"], "inner").dropDuplicates(["key", "n_bytes", "token", "first"]),
+                   "repeat-occurrences")
     one = F.struct("key", "n_bytes", "first", "starts", "doc_id")
     regions = stored(again.groupBy("token", "region", "contested").agg(
         F.count("key").alias("n"), F.min(one).alias("one")), "repeat-regions")
