@@ -324,8 +324,9 @@ def covered(texts: DataFrame, found: DataFrame, config: Repeats) -> DataFrame:
         F.count("region").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).where("n > 1")
         .select("token", (F.col("low") != F.col("high")).alias("contested")), "repeat-anchors")
     # Copies of a text in several tasks bring the same anchors; one copy stands for all.
-    again = stored(merge_lookup(found, several, ["token"], "inner").dropDuplicates(["key", "n_bytes", "token", "first"]),
-                   "repeat-occurrences")
+    # Dealt anew for that, so that the join may split a token of many places.
+    again = stored(merge_lookup(found, several, ["token"], "inner").repartition("key", "first").dropDuplicates(
+        ["key", "n_bytes", "token", "first"]), "repeat-occurrences")
     one = F.struct("key", "n_bytes", "first", "starts", "doc_id")
     regions = stored(again.groupBy("token", "region", "contested").agg(
         F.count("key").alias("n"), F.min(one).alias("one")), "repeat-regions")
