@@ -97,3 +97,24 @@ def test_primary_keys(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "id int")
     row = constraints.primary_key_violations([("t", df, "id")]).first()
     assert tuple(row) == ("t", 1, 2)
+
+
+def test_only_suspected_rows_are_grouped(spark):
+    """Rows whose key is theirs alone are not exchanged, and a bitmap of few slots changes no result."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 1000 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit("x").alias("v"))
+    assert quality.suspects(df, ["k", "v"]).count() == 20
+    few = quality.suspects(df, ["k", "v"], bits=6)
+    assert 20 <= few.count() <= 20_000 and few.groupBy("k", "v").count().where("count > 1").first()["count"] == 20
+    assert tuple(quality.duplicate_percentage(df, ["k", "v"]).first()) == (19, 20_000, 0.095)
+
+
+def test_key_bitmaps_hold_the_keys_themselves(spark):
+    from starpipe.operators import constraints
+
+    dim = spark.createDataFrame([(k,) for k in (0, 1, 63, 64, -1, -64, -65, 2**62, None)], "k long")
+    fact = spark.createDataFrame([(k,) for k in (0, 1, 2, 63, 64, 65, -1, -2, -64, -65, -66, 2**62, 2**62 + 1, None)], "k long")
+    for most in (1000, 0):  # by the bitmap, and by an exchange of the values
+        found = constraints.foreign_key_violations(fact, [constraints.ForeignKey("k", dim, "k")], bitmap_words=most)
+        assert tuple(found.first()) == ("k", 5, 5)
+    words = {r["word"]: r["bits"] for r in constraints.key_bitmap(dim, "k").collect()}
+    assert words[0] == 3 - 2**63 and words[1] == 1 and len(words) == 5

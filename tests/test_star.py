@@ -119,3 +119,25 @@ def test_spread_by_content_for_a_shuffled_fact(skewed, dim):
     fact = skewed.repartition(5)
     out = star_join(fact, [Lookup(dim, "k", "key", {"name": "name"})], "merge", from_files=False)
     assert {tuple(r) for r in out.select("id", "k", "name").collect()} == expected(skewed)
+
+
+def test_sketches_are_merged_in_levels(spark, monkeypatch, skewed):
+    """Two tasks a lane, then two lanes a lane: eight tasks give four sketches, then two."""
+    monkeypatch.setattr(star, "FAN_IN", 2)
+    sketches = star.key_sketches(skewed.repartition(8), ["k"], 100)
+    assert sorted(r["n"] for r in sketches.select("n").collect()) != [9000]
+    assert sketches.count() == 2 and sum(r["n"] for r in sketches.collect()) == 9000
+    plan = sketches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "approx_top_k_accumulate" in plan and "approx_top_k_combine" in plan
+    assert dict(hot_keys(skewed, ["k"])["k"])[7] == pytest.approx(1 / 3, abs=0.01)
+    assert hot_keys(skewed.where("false"), ["k"]) == {"k": []}
+
+
+def test_few_keys_need_no_exchange(spark, dim):
+    """All keys are known from the sketch and counted to be all: their dimension rows are broadcast."""
+    fact = spark.range(4000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 5 * 2).alias("k"))
+    out = star_join(fact, [Lookup(dim, "k", "key", {"name": "name"})], "merge")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["k"], r["name"]) for r in out.select("k", "name").distinct().collect()} == {
+        (None, None), (2, "n2"), (4, "n4"), (6, "n6"), (8, "n8")}
+    assert out.count() == 4000
