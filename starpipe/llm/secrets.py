@@ -44,33 +44,41 @@ class Scan:
     used: int = 3
 
 
-def _positions(text: Column, pattern: str) -> Column:
-    """struct(start, end, hit) of all matches, leftmost and non-overlapping, in code points.
+#: Reaches of the rounds of `_running`; the last is beyond the number of code points a text can have.
+REACHES = [1 << k for k in range(31)]
+SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
-    The pieces between matches and the matches alternate, so their lengths add up to positions.
+
+def _running(values: Column, combine) -> Column:
+    """`values` after each has met all before and all after it, in rounds of doubled reach.
+
+    `combine(value, before, after)` gets null beyond the ends. A round is one pass and a text of n
+    values takes log2(n) rounds, so nothing is appended to a growing array.
     """
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(pieces.alias("piece"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("spans"))
+    def round_(held, reach):
+        return F.when(F.size(held) <= reach, held).otherwise(F.transform(held, lambda value, i: combine(
+            value, F.get(held, i - reach), F.get(held, i + reach))))
 
-    def step(done, pair):
-        begin = done["at"] + F.length(pair["piece"])
-        end = begin + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(pair["hit"].isNull(), done["spans"]).otherwise(
-            F.concat(done["spans"], F.array(span))).alias("spans"))
+    return F.aggregate(F.lit(REACHES), values, round_)
 
-    return F.aggregate(pairs, start, step)["spans"]
 
+def _positions(text: Column, pattern: str) -> Column:
+    """struct(end, hit) of all matches, leftmost and non-overlapping, in code points.
 
-HITS = "array<struct<start:int,end:int,hit:string>>"
-SPAN = "struct<start:int,end:int,kind:int,value:string>"
+    The pieces between matches and the matches alternate, so their lengths add up to positions.
+    """
+    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    lengths = F.transform(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda pair: F.struct(
+        (F.length(pair["piece"]) + F.coalesce(F.length(pair["hit"]), F.lit(0))).alias("end"), pair["hit"].alias("hit")))
+    ends = _running(lengths, lambda x, before, after: F.struct(
+        (x["end"] + F.coalesce(before["end"], F.lit(0))).alias("end"), x["hit"].alias("hit")))
+    return F.filter(ends, lambda x: x["hit"].isNotNull())
 
 
 def _kind(text: Column, gate: str, pattern: str, kind: int, value=None, least: int = 0) -> Column:
     """Spans of one kind; texts without a match for `gate` skip the work."""
     spans = F.transform(_positions(text, pattern), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
+        (s["end"] - F.length(s["hit"])).alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"),
         (value(s["hit"]) if value else s["hit"]).alias("value")))
     held = F.filter(spans, lambda s: F.length(s["value"]) >= least)
     return F.when(text.rlike(gate), held).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -142,24 +150,38 @@ def _model(counts: list[int], size: int, smoothing: float) -> list[float]:
             for p in range(size * size)]
 
 
+def _alone(base: Column, tokens: Column) -> Column:
+    """The tokens that overlap no base span.
+
+    Both are put in one order by start, base spans first. A token is alone if no span before it
+    reaches beyond its start and the next span after it starts no earlier than its end.
+    """
+    no = F.lit(None).cast("int")
+    marks = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("token"), b["end"].alias("reach"),
+                                             b["start"].alias("next"), F.lit(None).cast(SPAN).alias("span"))),
+        F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("token"), no.alias("reach"),
+                                               no.alias("next"), t.alias("span"))))
+    met = _running(F.array_sort(marks), lambda x, before, after: F.struct(
+        x["start"].alias("start"), x["token"].alias("token"), F.greatest(x["reach"], before["reach"]).alias("reach"),
+        F.least(x["next"], after["next"]).alias("next"), x["span"].alias("span")))
+    free = F.filter(met, lambda x: (x["token"] == 1) & F.coalesce(x["reach"] <= x["start"], F.lit(True))
+                    & F.coalesce(x["next"] >= x["span"]["end"], F.lit(True)))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(F.transform(free, lambda x: x["span"]))
+
+
 def with_spans(texts: DataFrame, model: list[float], scan: Scan = Scan()) -> DataFrame:
-    """Adds __base and __spans, both ordered, to rows with a text that is not null."""
+    """Adds __base and __spans, both ordered by start and kind, to rows with a text that is not null."""
     ratio = F.split(F.lit(",".join(f"{w:.6f}" for w in model)), ",").cast("array<double>")
-    likely = F.filter("__tokens", lambda t: (F.aggregate(
+    random = F.filter("__tokens", lambda t: F.aggregate(
         _pairs(_codes(t["value"])), F.lit(0.0), lambda total, p: total + F.get(ratio, p)) > scan.odds)
-        & ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-
-    def order(a, b):
-        return F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"])), -1).when(
-            (a["start"] == b["start"]) & (a["kind"] == b["kind"]), 0).otherwise(1)
-
-    rows = scanned(texts, scan)
-    both = rows.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), likely), order))
-    return both.withColumn("__base", F.array_sort("__base", order)).drop("__tokens")
+    rows = scanned(texts, scan).withColumns({"__base": F.array_sort("__base"), "__tokens": random})
+    return rows.withColumn("__spans", F.array_sort(F.concat(
+        "__base", _alone(F.col("__base"), F.col("__tokens"))))).drop("__tokens")
 
 
 def scan_documents(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """doc_id, base and spans (arrays of start, end, kind, value) of each row of `docs` (doc_id, text).
+    """doc_id, base and spans (arrays of start, kind, end, value) of each row of `docs` (doc_id, text).
 
     `spans` holds the base spans and those of the model that overlap none of them, by start and
     kind. A null text is empty and has no spans; repeated rows are scanned each for itself; other
@@ -170,22 +192,43 @@ def scan_documents(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
         "doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
+#: Code points of a block of text; a part of a text is cut from the blocks that it touches.
+BLOCK = 4096
+
+
+def _part(start: Column, end: Column) -> Column:
+    """Code points `start` to `end` of the text in `blocks`."""
+    first = F.floor(start / BLOCK).cast("int")
+    touched = F.slice(F.col("blocks"), first + 1, F.greatest(F.ceil(end / BLOCK).cast("int") - first, F.lit(0)))
+
+    def cut(block, i):
+        begin = F.greatest(start - (first + i) * BLOCK, F.lit(0))
+        return F.substr(block, begin + 1, F.least(end - (first + i) * BLOCK, F.lit(BLOCK)) - begin)
+
+    return F.array_join(F.transform(touched, cut), "")
+
+
 def redacted(docs: DataFrame, mark: str = "[secret]", scan: Scan = Scan()) -> DataFrame:
-    """The rows of `docs` with every span of their text replaced by `mark`; all columns stay."""
-    text = F.col("text")
-    filled = docs.withColumn("__null", text.isNull()).withColumn("text", F.coalesce(text, F.lit("")))
-    rows = with_spans(filled, train(docs, scan), scan)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done, span):
-        kept = F.substr(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.when(
-            span["start"] < done["at"], done["out"]).otherwise(F.concat(done["out"], kept, F.lit(mark))).alias("out"))
-
-    cut = F.aggregate("__spans", start, step, lambda done: F.concat(
-        done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    clean = F.when(F.col("__null"), F.lit(None)).when(F.size("__spans") > 0, cut).otherwise(text)
-    return rows.withColumn("text", clean).select(*docs.columns)
+    """The rows of `docs` with every span of their text replaced by `mark`; all columns stay.
+
+    Spans that overlap become one mark. A null text stays null and an empty one empty; repeated
+    rows are redacted each for itself; columns may have any names; no documents give no rows.
+    """
+    rows = with_spans(_texts(docs, F.struct("*").alias("row")), train(docs, scan), scan)
+    ends = _running(F.col("__spans"), lambda x, before, after: F.struct(
+        x["start"].alias("start"), x["kind"].alias("kind"), F.greatest(x["end"], before["end"]).alias("end"),
+        x["value"].alias("value")))
+    found = F.size("__spans") > 0
+    rows = rows.select("row", "text", F.when(found, ends).alias("ends"), F.when(found, F.regexp_extract_all(
+        "text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("blocks"))
+    # A span that starts before an earlier one ends belongs to that one's mark.
+    gaps = F.filter(F.transform("ends", lambda x, i: F.struct(
+        F.coalesce(F.get("ends", i - 1)["end"], F.lit(0)).alias("start"), x["start"].alias("end"))),
+        lambda gap: gap["start"] <= gap["end"])
+    marked = F.transform(gaps, lambda gap: F.concat(_part(gap["start"], gap["end"]), F.lit(mark)))
+    tail = _part(F.get("ends", F.size("ends") - 1)["end"], F.length("text"))
+    clean = F.when(F.col("ends").isNotNull(), F.concat(F.array_join(marked, ""), tail)).otherwise(F.col("row")["text"])
+    return rows.select(*((clean if c.lower() == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

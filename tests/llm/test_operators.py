@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -287,6 +289,64 @@ def test_redaction(odd):
     assert texts[2] is None and texts[1] == "" and texts[6] == fixtures.PASSAGE
 
 
+def plain_redaction(text, spans, mark="[secret]"):
+    out, at = "", 0
+    for span in spans.split(",") if spans else ():
+        start, end = map(int, span.split(":")[1:])
+        if start >= at:
+            out += text[at:start] + mark
+        at = max(at, end)
+    return out + text[at:] if spans else text
+
+
+def test_spans_that_meet_and_overlap(spark):
+    """Random texts of keys, assignments and tokens that touch: all spans and the redaction against plain versions."""
+    rng = random.Random(11)
+
+    def token():
+        kind, body = rng.randrange(5), "".join(rng.choices(secrets.ALPHABET[:62], k=rng.randrange(4, 40)))
+        return [body, "AKIA" + body.upper(), f"password={body}", "0123456789abcdef" * 2 + rng.choice(["", body]),
+                f"{body}/token: {body}"][kind]
+
+    texts = ["".join(token() + rng.choice([" ", "", " 😀 ", "\n", "é=", " " * 5000]) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "s", "e", "b", 1) for i, t in enumerate(texts)],
+                                 "doc_id int, text string, __spans string, ends string, blocks string, `row` int")
+    rows = {r["doc_id"]: r["spans"] for r in check_secrets(docs)}
+    whole = {r["doc_id"]: r for r in secrets.scan_documents(docs).collect()}
+    every = {r["doc_id"]: r for r in secrets.scan_documents(docs, secrets.Scan(odds=-1e9)).collect()}
+    edge = 0
+    for i, text in enumerate(texts):
+        base = fixtures.base_secrets(text)
+        spans = [(s["start"], s["kind"], s["end"]) for s in whole[i]["spans"]]
+        assert spans == sorted(spans) and [s for s in spans if s[1] < 3] == base
+        tokens = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text)]
+        alone = [t for t in tokens if not any(a < t[1] and t[0] < b for a, _, b in base)]
+        assert {(a, b) for a, k, b in spans if k == 3} <= set(alone)
+        assert [(s["start"], s["end"]) for s in every[i]["spans"] if s["kind"] == 3] == alone
+        assert all(text[s["start"]:s["end"]].endswith(s["value"]) for s in whole[i]["spans"])
+        edge += len(tokens) - len(alone)
+    assert edge > 100 and any("markov" in s for s in rows.values())
+    clean = secrets.redacted(docs)
+    assert clean.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {i: plain_redaction(t, rows[i]) for i, t in enumerate(texts)}
+
+
+def test_hits_of_one_text_cost_alike(spark):
+    """Ten times the hits of a text take about ten times as long, not a hundred times."""
+    def seconds(hits):
+        text = " ".join(f"{hashlib.md5(str(i).encode()).hexdigest()}é" for i in range(hits))
+        docs = spark.createDataFrame([(1, text)], "doc_id int, text string").cache()
+        docs.count()
+        started = time.time()
+        clean = secrets.redacted(docs).first()["text"]
+        took = time.time() - started
+        assert clean == " ".join(["[secret]é"] * hits)
+        return took
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(seconds(4_000), 1)
+
+
 # --- 7: languages -------------------------------------------------------------------------
 
 def test_language_hold_out(spark, sf_dir):
