@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -178,3 +179,84 @@ def spelling(docs, least_size=5, least_n=3):
         return root(form[w]) if w in form else w
 
     return [(w, form.get(w), root(w), n, len(near[w]), words.get(form.get(w))) for w, n in words.items()]
+
+
+def url_features(url, host, path):
+    """Features of one URL but for the rate of its suffix."""
+    share = [n / len(url) for n in Counter(url).values()] if url else []
+    return {"length": len(url), "host_length": len(host), "labels": len(host.split(".")), "depth": path.count("/"),
+            "digit_ratio": sum(c in "0123456789" for c in url) / max(len(url), 1),
+            "parameters": 1 + url.count("&") if "?" in url else 0, "entropy": -sum(x * math.log2(x) for x in share)}
+
+
+def url_parts(url):
+    """Host and path."""
+    if "://" not in (url or ""):
+        return "", ""
+    rest = re.split("[#?]", url.split("://", 1)[1], maxsplit=1)[0]
+    host, slash, path = rest.partition("/")
+    return "".join(c.lower() if c.isascii() else c for c in host), slash + path
+
+
+def fitted(host, path, rules):
+    """The longest of (verdict, host, path) that fits, or None."""
+    fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    return max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+
+
+def boosted(rows, labels, others, trees=10, depth=3, rate=0.4, ridge=1.0):
+    """P(label 1) of `others` after boosting on `rows`; both are lists of bins, one per feature."""
+    score, out = [0.0] * len(rows), [0.0] * len(others)
+
+    def grow(members, level, fresh):
+        g = {i: labels[i] - 1 / (1 + math.exp(-score[i])) for i in members}
+        h = {i: (labels[i] - g[i]) * (1 - labels[i] + g[i]) for i in members}
+        gs, hs = sum(g.values()), sum(h.values())
+        best = (1e-9, None, None)
+        for f in range(len(rows[0]) if level < depth else 0):
+            held = sorted({rows[i][f] for i in members})
+            for cut in held[:-1]:
+                left = [i for i in members if rows[i][f] <= cut]
+                lg, lh = sum(g[i] for i in left), sum(h[i] for i in left)
+                gain = lg ** 2 / (lh + ridge) + (gs - lg) ** 2 / (hs - lh + ridge) - gs ** 2 / (hs + ridge)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, cut)
+        _, f, cut = best
+        if f is None:
+            fresh.update({i: gs / (hs + ridge) for i in members})
+            return lambda bins: gs / (hs + ridge)
+        sides = [grow([i for i in members if (rows[i][f] <= cut) == side], level + 1, fresh) for side in (True, False)]
+        return lambda bins: sides[bins[f] > cut](bins)
+
+    for _ in range(trees):
+        fresh = {}
+        tree = grow(list(range(len(rows))), 0, fresh)
+        score = [s + rate * fresh[i] for i, s in enumerate(score)]
+        out = [s + rate * tree(bins) for s, bins in zip(out, others)]
+    return [1 / (1 + math.exp(-s)) for s in out]
+
+
+def language_grams(text):
+    """Three characters each with a letter in the middle; what is no letter is a blank."""
+    t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()}  ")
+    return [t[i:i + 3] for i in range(len(t) - 2) if t[i + 1] != " "]
+
+
+def language_shares(training, texts, share=0.1, rare=1e-6):
+    """Languages in order, and of each text the share of its n-grams that each has (None without a letter)."""
+    counts = defaultdict(Counter)
+    for text, lang in training:
+        counts[lang].update(language_grams(text))
+    top, rates = Counter(), {}
+    for lang, c in counts.items():
+        total = sum(c.values())
+        rates[lang] = {g: n / total for g, n in c.items() if n / total >= rare}
+        for g, r in rates[lang].items():
+            top[g] = max(top[g], r)
+    order = sorted(rates)
+    own = [{g for g, r in rates[lang].items() if r >= share * top[g]} for lang in order]
+    out = []
+    for text in texts:
+        found = language_grams(text)
+        out.append([sum(g in held for g in found) / len(found) for held in own] if found else None)
+    return order, out

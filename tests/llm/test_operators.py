@@ -156,6 +156,45 @@ def test_url_trees_learn(spark):
     assert len(got) == 400 and right >= 380
 
 
+def test_urls_whole_table(spark, sf_dir):
+    """Hosts, paths, rules, verdicts and scores of all pages against plain rules and plain boosting."""
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages")
+    long_ = "http://x" + "é" * 3000 + "1" * 2000 + ".com/" + "a/" * 500 + "?" + "b=1&" * 300
+    more = [(10_000 + i, u) for i, u in enumerate([None, "", "abc", long_, long_, "HTTP://A.NET/fr/x", "http://a.net/fr/x?y=1&z=2#w"])]
+    docs = pages.select("page_id", "url").unionByName(spark.createDataFrame(more, "page_id long, url string"))
+    boosting, urls_ = urls.Boosting(), {r["page_id"]: r["url"] for r in docs.collect()}
+    rows = {r["page_id"]: r for r in urls.judge_urls(docs).collect()}
+    assert rows.keys() == urls_.keys()
+
+    rules = [(r.verdict, r.host, r.path) for r in urls.RULES]
+    rule, parts = {}, {}
+    for i, url in urls_.items():
+        parts[i] = fixtures.url_parts(url)
+        rule[i] = fixtures.fitted(*parts[i], rules)
+        assert (rows[i]["host"], rows[i]["path"]) == parts[i]
+        assert rows[i]["rule"] == (rule[i] and rule[i][1] + rule[i][2])
+        assert rows[i]["verdict"] == (rule[i][0] if rule[i] else "block" if rows[i]["score"] >= 0.5 else "allow")
+
+    described = urls.with_suffix_rate(urls.described(docs, urls.RULES, boosting), boosting)
+    shown = {r["page_id"]: r for r in described.select("page_id", "slot", "suffix_rate", "judged", *(
+        F.expr(e).alias(f"f_{f}") for f, e in urls.FEATURES.items())).collect()}
+    known = [i for i in urls_ if rule[i]]
+    blocked = {i: int(rule[i][0] == "block") for i in known}
+    whole, plain = sum(blocked.values()) / len(known), {}
+    for i, url in urls_.items():
+        mine = [blocked[k] for k in known if shown[k]["slot"] == shown[i]["slot"]]
+        suffix = (sum(mine) + boosting.prior * whole) / (len(mine) + boosting.prior)
+        plain[i] = fixtures.url_features(url or "", *parts[i]) | {"suffix": suffix}
+        assert [shown[i][f"f_{f}"] for f in urls.FEATURES] == pytest.approx([plain[i][f] for f in urls.FEATURES], abs=1e-9)
+
+    steps = [(k + 1) / boosting.bins for k in range(boosting.bins - 1)]
+    labelled = described.where("judged IS NOT NULL").select(*(F.expr(e).alias(f) for f, e in urls.FEATURES.items()))
+    cuts = [sorted(set(q)) for q in labelled.approxQuantile(list(urls.FEATURES), steps, 0.01)]
+    bins = {i: [sum(shown[i][f"f_{f}"] > c for c in q) for f, q in zip(urls.FEATURES, cuts)] for i in urls_}
+    want = fixtures.boosted([bins[i] for i in known], [blocked[i] for i in known], [bins[i] for i in urls_])
+    assert [rows[i]["score"] for i in urls_] == pytest.approx(want, abs=1e-6)
+
+
 # --- 3: mixing ----------------------------------------------------------------------------
 
 def test_mixing(spark, odd, nothing):
@@ -359,6 +398,22 @@ def test_language_hold_out(spark, sf_dir):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.99 * len(held)
 
 
+def test_languages_equal_exact_sets(spark, sf_dir):
+    """Predictions of all documents against exact n-gram sets; the filter's false positives are corrected to 0.01."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r for r in language.identify(table(spark, sf_dir, "documents")).collect()}
+    assert got.keys() == {r["doc_id"] for r in docs}
+    training = [(r["text"], r["lang"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] and r["text"]]
+    order, shares = fixtures.language_shares(training, [r["text"] for r in docs])
+    for r, share in zip(docs, shares):
+        mine = got[r["doc_id"]]
+        if share is None:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        assert mine["score"] == pytest.approx(max(share), abs=0.01)
+        assert share[order.index(mine["lang_pred"])] >= max(share) - 0.01
+
+
 def test_language_odd_rows(odd, nothing):
     rows = language.identify(odd).collect()
     assert len(rows) == odd.count()
