@@ -121,7 +121,7 @@ def slots_of(gram: np.ndarray, config: LanguageFilter) -> list[np.ndarray]:
 def train(labelled: DataFrame, config: LanguageFilter = LanguageFilter()) -> Model:
     """The filter of all rows of (text, lang) with both present.
 
-    What reaches the driver is one row per language and at most one row per language and slot.
+    What reaches the driver is one row per language and at most one row per slot and 64 languages.
     """
     python_tasks(labelled.sparkSession)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").selectExpr(
@@ -138,11 +138,12 @@ def train(labelled: DataFrame, config: LanguageFilter = LanguageFilter()) -> Mod
         top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
         kept = rated.join(top, "gram").where(F.col("rate") >= config.share * F.col("top"))
         code = F.create_map(*[F.lit(x) for kv in zip(languages, range(len(languages))) for x in kv])
-        places = kept.select(code[F.col("lang")].alias("lang"), "gram").mapInArrow(
-            _places(config), "lang int, slot int").distinct().toArrow()
-        lang, slot = (places.column(c).to_numpy() for c in ("lang", "slot"))
-        np.bitwise_or.at(slots, (lang // 64, slot), np.uint64(1) << (lang % 64).astype(np.uint64))
-        fill = np.bincount(lang, minlength=len(languages))
+        places = kept.select(code[F.col("lang")].alias("lang"), "gram").mapInArrow(_places(config), "lang int, slot int")
+        for r in places.groupBy(F.expr("lang DIV 64").cast("int").alias("word"), "slot").agg(
+                F.bit_or(F.expr("shiftleft(1L, lang % 64)")).alias("bits")).toArrow().to_batches():
+            word, slot, bits = (r.column(c).to_numpy(zero_copy_only=False) for c in ("word", "slot", "bits"))
+            slots[word, slot] = bits.view(np.uint64)
+        fill = np.array([np.count_nonzero(slots[k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in range(len(languages))])
     common = max(range(len(languages)), key=lambda k: (total[languages[k]], -k)) if languages else -1
     return Model(languages, slots, (fill / (1 << config.slot_bits)) ** config.hashes, common, config)
 
@@ -209,7 +210,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose text has a language with at least the score `least`; all columns stay."""
+    """The rows of `docs` whose text has a language with at least the score `least`; all columns stay.
+
+    Null texts, texts without a letter and all rows of a model that learnt nothing go; repeated rows are
+    judged alike; no documents give no rows.
+    """
     python_tasks(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
