@@ -7,13 +7,17 @@ hashes), and a pair is only compared if it shares prefix tokens in both. To find
 without listing them, the sets that share a prefix token are named by one of them, their centre;
 sets that meet under the same pair of centres form a unit. Parity bits of the sets, which bound their
 difference from below, leave those with a possible partner, and their texts are joined locally.
-Large units are cut into blocks and every pair of blocks is solved by itself. A unit
+A unit
 gives a spanning forest of its links instead of all of them; components are found from those.
+Large units are cut into blocks. Each block is solved by itself first, beside a few sets that all
+blocks of the unit get; then only the sets outside the unit's largest component meet the other
+blocks, so that a group of copies is not sent to every pair of its blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +34,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 ORDER_SEEDS = (np.uint64(0), np.uint64(0xA5A5A5A5C3C3C3C3))
 SETS = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "n", "high", "low", "mark")), ("parity", pa.binary())])
-PREFIXES = pa.schema([("in_order", pa.int32()), ("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())])
+PREFIXES = pa.schema([("in_order", pa.int32()), ("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32()),
+                      ("band", pa.int32())])
+UNIT = ["c1", "c2", "one", "two"]
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -40,6 +46,8 @@ class Similarity:
 
     `frequent` bounds the list of frequent tokens (it only affects the order, never a result),
     `slots` the prefilter of candidate documents, `unit_words` and `unit_sets` the size of a block.
+    About `hubs` sets of a large unit go to each of its blocks. Tokens counted more than `hot` times
+    are not walked in one task. None of these changes a result.
     """
 
     words: int = 4
@@ -50,6 +58,8 @@ class Similarity:
     slots: int = 1 << 20
     unit_words: int = 1 << 20
     unit_sets: int = 4096
+    hubs: int = 8
+    hot: int = 20_000
 
     def overlap(self, n):
         """Least intersection of a set of n with a similar one."""
@@ -58,6 +68,10 @@ class Similarity:
     def prefix(self, n):
         return n - self.overlap(n) + 1
 
+    def band(self, n: int) -> int:
+        """Sizes of similar sets are of one band or of two next to each other."""
+        return int(math.log(n) / (math.log(self.of / self.at_least) + 1e-6))
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MIX
@@ -122,8 +136,8 @@ def _sets(config: Similarity):
                                             shingle_sets(batch.column("text").to_pylist(), config.words)):
                 high, low = _key(tokens)
                 out.append((0, doc_id, len(tokens), high, low, mark, signatures([tokens]).tobytes()))
-                if low not in seen:
-                    seen.add(low)
+                if (high, low) not in seen:
+                    seen.add((high, low))
                     held.append(tokens)
                     size += len(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SETS)], schema=SETS)
@@ -139,59 +153,75 @@ def _sets(config: Similarity):
 def _prefixes(config: Similarity, shared):
     def rows(batches):
         tokens_known, counts_known = shared.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in byte_slices(batches, "text", 1 << 20):
-            orders, tokens_, sets_, sizes = [], [], [], []
+            orders, tokens_, sets_, sizes, bands = [], [], [], [], []
             for tokens in shingle_sets(batch.column("text").to_pylist(), config.words):
                 n = len(tokens)
-                low = _key(tokens)[1]
-                if not n or low in seen:
+                key = _key(tokens)
+                if not n or key in seen:
                     continue
-                seen.add(low)
+                seen.add(key)
                 count = np.zeros(n, np.int64)
                 if len(tokens_known):
                     at = np.minimum(np.searchsorted(tokens_known, tokens), len(tokens_known) - 1)
                     count = np.where(tokens_known[at] == tokens, counts_known[at], 0)
-                keep = config.prefix(n)
+                keep, band = config.prefix(n), config.band(n)
                 for k, seed in enumerate(ORDER_SEEDS):
-                    prefix = tokens[np.lexsort((mixed(tokens ^ seed), count))[:keep]]
-                    orders.append(np.full(keep, k, np.int32))
-                    tokens_.append(prefix.view(np.int64))
-                    sets_.append(np.full(keep, low, np.int64))
-                    sizes.append(np.full(keep, n, np.int32))
+                    first = np.lexsort((mixed(tokens ^ seed), count))[:keep]
+                    hot = first[count[first] > config.hot]
+                    rows_ = keep + len(hot)
+                    orders.append(np.full(rows_, k, np.int32))
+                    tokens_.append(tokens[np.concatenate([first, hot])].view(np.int64))
+                    sets_.append(np.full(rows_, key[1], np.int64))
+                    sizes.append(np.full(rows_, n, np.int32))
+                    bands.append(np.concatenate([np.where(count[first] > config.hot, band, -1),
+                                                 np.full(len(hot), band + 1)]).astype(np.int32))
             if orders:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (orders, tokens_, sets_, sizes)], schema=PREFIXES)
+                    [pa.array(np.concatenate(c)) for c in (orders, tokens_, sets_, sizes, bands)], schema=PREFIXES)
 
     return rows
 
 
 def centres(prefixes: DataFrame, config: Similarity) -> DataFrame:
-    """in_order, set, centre: who meets whom by a prefix token, without pairs.
+    """in_order, set, centre, n: who meets whom by a prefix token, without pairs.
 
     The sets of a token are walked by size and cut where neighbours differ too much in size to be
-    similar; a stretch is named by its first set and dropped if that is its only one.
+    similar; a stretch is named by its first set and dropped if that is its only one. Hot tokens
+    are not walked: their sets, each in two bands of sizes, are named by the least of a band,
+    which is summed before it is exchanged.
     """
-    walk = Window.partitionBy("in_order", "token").orderBy("n", "set")
-    once = prefixes.withColumn("before", F.lag("n").over(walk)).withColumn("same", F.lag("set").over(walk)).withColumn(
-        "after", F.lead("n").over(walk)).withColumn("next", F.lead("set").over(walk))
+    salt = F.when(F.col("band") < 0, 0).otherwise(F.pmod(F.xxhash64("set"), F.lit(4096)))
+    walk = Window.partitionBy("in_order", "token", "salt").orderBy("n", "set")
+    once = prefixes.withColumn("salt", salt).withColumn("before", F.lag("n").over(walk)).withColumn(
+        "same", F.lag("set").over(walk)).withColumn("after", F.lead("n").over(walk))
 
     def apart(small, large):
         return small.isNull() | large.isNull() | (config.of * small < config.at_least * large)
 
+    hot = F.col("band") >= 0
     starts = apart(F.col("before"), F.col("n"))
     named = once.withColumn("starts", starts).withColumn("alone", starts & apart(F.col("n"), F.col("after"))).withColumn(
         "centre", F.last(F.when(F.col("starts"), F.col("set")), ignorenulls=True).over(walk))
     # Copies of a set from several tasks stand side by side and make no company.
     company = ~F.col("alone") & ~(F.col("same").eqNullSafe(F.col("set")))
-    return named.where(company).select("in_order", "set", "centre", "n").distinct()
+    found = stored(named.where(hot | company).select(
+        "in_order", "set", F.when(~hot, F.col("centre")).alias("centre"), "n", F.when(hot, F.col("token")).alias("token"),
+        "band").distinct(), "jaccard-prefixes")
+    crowd = found.where(hot)
+    least = crowd.groupBy("in_order", "token", "band").agg(
+        F.min(F.struct("n", "set")).alias("least"), F.min("set").alias("low"), F.max("set").alias("high"))
+    shared = merge_lookup(crowd.drop("centre"), least.where("low <> high"), ["in_order", "token", "band"], "inner")
+    return found.where(~hot).select("in_order", "set", "centre", "n").unionByName(
+        shared.select("in_order", "set", F.col("least.set").alias("centre"), "n")).distinct()
 
 
 def units(met: DataFrame, config: Similarity) -> DataFrame:
-    """unit ids (c1, c2, one, two) of the sets that meet in both orders, with set and n.
+    """c1, c2, set, n, members, blocks, mine: the sets that meet in both orders, in units (c1, c2).
 
     Units of the same members are taken once. A unit of more text than a block holds is cut by a
-    hash of the set, and each pair of blocks becomes a unit of its own.
+    hash of the set; `mine` is the block of a set. Stored.
     """
     one = met.where("in_order = 0").select("set", "n", F.col("centre").alias("c1"))
     two = met.where("in_order = 1").select("set", F.col("centre").alias("c2"))
@@ -199,13 +229,39 @@ def units(met: DataFrame, config: Similarity) -> DataFrame:
     groups = both.groupBy("c1", "c2").agg(F.count("set").alias("members"), F.sum("n").alias("held"),
                                           F.expr("bit_xor(xxhash64(set))").alias("same")).where("members > 1")
     first = groups.groupBy("members", "held", "same").agg(F.min(F.struct("c1", "c2")).alias("id"))
-    blocks = F.ceil(F.greatest(F.col("held") / config.unit_words, F.col("members") / config.unit_sets)).cast("int")
-    chosen = first.select("id.c1", "id.c2", blocks.alias("blocks"))
+    chosen = first.select("id.c1", "id.c2", "members", _blocks("held", "members", config).alias("blocks"))
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    member = merge_lookup(both, chosen, ["c1", "c2"], "inner").withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return member.withColumn("other", other).select(
-        "c1", "c2", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "set", "n")
+    return stored(merge_lookup(both, chosen, ["c1", "c2"], "inner").withColumn("mine", mine), "jaccard-members")
+
+
+def _blocks(words: str, sets: str, config: Similarity):
+    return F.ceil(F.greatest(F.col(words) / config.unit_words, F.col(sets) / config.unit_sets)).cast("int")
+
+
+def by_itself(member: DataFrame, config: Similarity) -> DataFrame:
+    """Rows of `units` with the block (one) they are solved in: their own, but for the hubs every one."""
+    hub = F.pmod(F.xxhash64("set", F.lit(7)), F.col("members")) < config.hubs
+    every = F.when((F.col("blocks") > 1) & hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    return member.withColumn("one", F.explode(every)).withColumn("two", F.lit(-1))
+
+
+def left_over(large: DataFrame, config: Similarity) -> DataFrame:
+    """Pairs of blocks (one, two) in which a set may still meet one of another component.
+
+    `large` has the rows of units of several blocks, with the label of their component. All but a
+    unit's largest component are dealt to blocks of their own (two) and meet each block (one).
+    """
+    sizes = large.groupBy("c1", "c2", "label").agg(F.count("set").alias("m"))
+    main = sizes.groupBy("c1", "c2").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    marked = merge_lookup(large, main, ["c1", "c2"], "inner").withColumn("outside", F.col("label") != F.col("main"))
+    rest = marked.where("outside").groupBy("c1", "c2").agg(F.count("set").alias("m"), F.sum("n").alias("held")).select(
+        "c1", "c2", _blocks("held", "m", config).alias("others"))
+    dealt = merge_lookup(marked, rest, ["c1", "c2"], "inner")
+    theirs = F.pmod(F.xxhash64("set", F.lit(3)), F.col("others")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda two: F.struct(F.col("mine").alias("one"), two.alias("two")))
+    went = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda one: F.struct(one.alias("one"), theirs.alias("two")))
+    places = F.when(F.col("outside"), F.array_union(met, went)).otherwise(met)
+    return dealt.withColumn("place", F.explode(places)).withColumns({"one": F.col("place.one"), "two": F.col("place.two")})
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,33 +282,33 @@ def possible(size: np.ndarray, parity: np.ndarray, i: int, others: np.ndarray, c
 
 
 def _promising(config: Similarity):
-    """The sets of a unit that have a possible partner in it."""
+    """The sets of a unit that have a possible partner of another label in it."""
     def promising(unit: pa.Table) -> pa.Table:
         unit = unit.take(pa.compute.sort_indices(unit.column("n")))
-        size = unit.column("n").to_numpy().astype(np.int64)
+        size, label = unit.column("n").to_numpy().astype(np.int64), unit.column("label").to_numpy()
         parity = np.frombuffer(b"".join(unit.column("parity").to_pylist()), np.uint64).reshape(len(size), -1)
         keep = np.zeros(len(size), bool)
         for i in range(len(size)):
             # A neighbour in size is the likely partner; one found is enough for both.
             others = np.arange(max(0, i - 1), min(len(size), i + 2))
-            found = possible(size, parity, i, others[others != i], config)
+            found = possible(size, parity, i, others[label[others] != label[i]], config)
             if not len(found) and not keep[i]:
                 low = np.searchsorted(size, -(-config.at_least * size[i] // config.of))
                 others = np.arange(low, np.searchsorted(size, config.of * size[i] // config.at_least, side="right"))
-                found = possible(size, parity, i, others[others != i], config)
+                found = possible(size, parity, i, others[label[others] != label[i]], config)
             keep[found] = True
             keep[i] |= len(found) > 0
-        return unit.select(["c1", "c2", "one", "two", "set", "rep"]).filter(pa.array(keep))
+        return unit.select([*UNIT, "set", "rep", "label"]).filter(pa.array(keep))
 
     return promising
 
 
-def links(sets: list[np.ndarray], config: Similarity) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs among distinct sets, exactly."""
+def links(sets: list[np.ndarray], config: Similarity, label=None) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs among distinct sets, exactly; sets of one label are linked already."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     sets = [sets[i] for i in order]
     size = np.array([len(s) for s in sets], np.int64)
-    label, found = np.arange(len(sets)), []
+    label, found = np.arange(len(sets)) if label is None else np.array(label)[order], []
     parity = signatures(sets)
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
@@ -300,14 +356,15 @@ def links(sets: list[np.ndarray], config: Similarity) -> list[tuple[int, int]]:
 def _solve(config: Similarity):
     def solve(unit: pa.Table) -> pa.Table:
         # Rows that share an id may bring another text along; each set counts once.
-        held: dict[int, tuple[int, np.ndarray]] = {}
-        rows = zip(unit.column("rep").to_pylist(), unit.column("set").to_pylist(),
+        held: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+        rows = zip(*(unit.column(c).to_pylist() for c in ("rep", "label", "set")),
                    shingle_sets(unit.column("text").to_pylist(), config.words))
-        for rep, wanted, tokens in rows:
-            if _key(tokens)[1] == wanted:
-                held.setdefault(wanted, (rep, tokens))
-        ids = [rep for rep, _ in held.values()]
-        pairs = links([tokens for _, tokens in held.values()], config)
+        for rep, label, wanted, tokens in rows:
+            key = _key(tokens)
+            if key[1] == wanted:
+                held.setdefault(key, (rep, label, tokens))
+        ids = [rep for rep, _, _ in held.values()]
+        pairs = links([tokens for _, _, tokens in held.values()], config, [label for _, label, _ in held.values()])
         return pa.Table.from_arrays([pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], schema=EDGES)
 
     return solve
@@ -337,23 +394,22 @@ def _linked(narrow: DataFrame, config: Similarity) -> DataFrame:
     token, count = (common.column(c).to_numpy() for c in ("token", "n"))
     by = np.argsort(token.view(np.uint64)) if len(token) else []
     shared = spark.sparkContext.broadcast((token[by].view(np.uint64), count[by]) if len(token) else ((), ()))
-    prefixes = named.mapInArrow(_prefixes(config, shared), "in_order int, token long, set long, n int")
+    prefixes = named.mapInArrow(_prefixes(config, shared), "in_order int, token long, set long, n int, band int")
     met = stored(centres(prefixes, config), "jaccard-centres")
 
     of_kind = sets.where("kind = 0")
     reps = stored(of_kind.where("n > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(
         F.min("doc_id").alias("rep"), F.first("parity").alias("parity")), "jaccard-classes")
     described = merge_lookup(units(met, config), reps.select(F.col("low").alias("set"), "rep", "parity"), ["set"], "inner")
-    member = stored(described.groupBy("c1", "c2", "one", "two").applyInArrow(
-        _promising(config), "c1 long, c2 long, one int, two int, set long, rep long"), "jaccard-units")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(config.slots))
-    # At most `slots` rows are broadcast, whatever the number of candidates.
-    wanted = F.broadcast(member.select(F.col("rep").alias("doc_id")).select(slot.alias("slot")).distinct())
-    texts = named.withColumn("slot", slot).join(wanted, "slot", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    whole = member.join(texts.hint("merge"), "rep")
-    edges = stored(whole.groupBy("c1", "c2", "one", "two").applyInArrow(_solve(config), "u long, v long"), "jaccard-links")
-
-    label = components(edges).withColumnRenamed("node", "rep")
+    first = by_itself(described.withColumn("label", F.col("rep")), config)
+    label = components(_solved(first, named, config)).withColumnRenamed("node", "rep")
+    # Units of several blocks hold more than a block of text each, so few rows are read again.
+    large = merge_lookup(described.where("blocks > 1"), label, ["rep"], "left").withColumn(
+        "label", F.coalesce("component", "rep")).drop("component")
+    second = _solved(left_over(stored(large, "jaccard-large"), config), named, config)
+    if not second.isEmpty():
+        label = components(second.unionByName(label.select(F.col("rep").alias("u"), F.col("component").alias("v"))))\
+            .withColumnRenamed("node", "rep")
     named_reps = merge_lookup(reps, label, ["rep"], "left").select(
         "high", "low", F.coalesce("component", "rep").alias("component_id"))
     full = merge_lookup(of_kind.where("n > 0 AND doc_id IS NOT NULL"), named_reps, ["high", "low"], "inner")
@@ -361,6 +417,18 @@ def _linked(narrow: DataFrame, config: Similarity) -> DataFrame:
     return full.unionByName(rest).select("doc_id", "mark", "n", "component_id")
 
 
+def _solved(rows: DataFrame, named: DataFrame, config: Similarity) -> DataFrame:
+    """Links (u, v) within the units of `rows`; texts are exchanged for sets with a possible partner only."""
+    member = stored(rows.select(*UNIT, "set", "n", "rep", "parity", "label").groupBy(*UNIT).applyInArrow(
+        _promising(config), "c1 long, c2 long, one int, two int, set long, rep long, label long"), "jaccard-units")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(config.slots))
+    # At most `slots` rows are broadcast, whatever the number of candidates.
+    wanted = F.broadcast(member.select(F.col("rep").alias("doc_id")).select(slot.alias("slot")).distinct())
+    texts = named.withColumn("slot", slot).join(wanted, "slot", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    whole = member.join(texts.hint("merge"), "rep")
+    return stored(whole.groupBy(*UNIT).applyInArrow(_solve(config), "u long, v long"), "jaccard-links")
+
+
 def one_of_each(docs: DataFrame, config: Similarity = Similarity()) -> DataFrame:
     """One row of `docs` of each group of linked texts, the one of the smallest doc_id.
 

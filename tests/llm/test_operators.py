@@ -513,7 +513,9 @@ def near_copies(n=60, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("config", [jaccard.Similarity(), jaccard.Similarity(unit_words=150, slots=8, frequent=10, held=50)])
+@pytest.mark.parametrize("config", [
+    jaccard.Similarity(), jaccard.Similarity(unit_words=150, slots=8, frequent=10, held=50),
+    jaccard.Similarity(unit_words=150, hubs=1, hot=2), jaccard.Similarity(unit_sets=2, hubs=0, hot=0)])
 def test_jaccard(spark, odd, config):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
@@ -529,6 +531,40 @@ def test_jaccard_whole_table(spark, sf_dir, nothing):
     assert jaccard.linked(nothing).collect() == []
 
 
+def test_a_group_of_near_copies_is_sent_about_once(spark, monkeypatch):
+    """One group of many blocks and some texts of other words that hang on to it by a chain."""
+    rng, base = random.Random(4), [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(40):  # each differs from the one before by two words
+        base = base[2:] + [f"c{i}", f"d{i}"]
+        rows.append((3000 + i, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sent, stored = {}, jaccard.stored
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        sent.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    config = jaccard.Similarity(unit_sets=100, hot=500, frequent=1 << 12)
+    got = jaccard.linked(docs, config).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 3040
+    members, blocks = sent["jaccard-members"][0], 31
+    assert sum(sent["jaccard-units"]) < 2 * members + 4 * config.hubs * blocks < members * blocks / 4
+
+
+def test_sizes_of_similar_sets_are_in_neighbouring_bands():
+    for config in (jaccard.Similarity(), jaccard.Similarity(at_least=80), jaccard.Similarity(at_least=100)):
+        for n in range(1, 3000):
+            for m in range(n, config.of * n // config.at_least + 1):
+                assert config.band(m) - config.band(n) in (0, 1)
+
+
 def test_links_lose_no_component():
     rng = random.Random(9)
     for _ in range(40):
