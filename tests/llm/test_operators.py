@@ -256,6 +256,36 @@ def test_bounds_count_vec_ids(spark):
     assert limits[0, 1] <= 0.2
 
 
+def test_top_k_of_clusters_moves_little(spark, monkeypatch):
+    """Clusters far apart and of different norms: queries go to few cells, and the answers stay exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 20, (24, 8)) * rng.uniform(0.5, 1.5, (24, 1))
+    x = centres[rng.integers(0, 24, 6000)] + rng.normal(0, 0.05, (6000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    kept, went = topk.stored, []
+
+    def counted(frame, purpose):
+        out = kept(frame, purpose)
+        if purpose == "knn-reach":
+            went.extend(len(r["data_cell"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(topk, "stored", counted)
+    got = topk.top_k(df, topk.Search(pivots=24, chunk=200, queries=16)).collect()
+    whole = np.array([topk.whole_numbers(v, 1024) for v in x])
+    for q in range(0, 6000, 100):
+        scores = whole @ whole[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [
+            (k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    assert len(went) == 60 and sum(went) < 60 * 24 / 3
+
+
+def test_whole_numbers_of_extreme_components():
+    assert topk.whole_numbers([1e308, -1e308, 0.5], 1024).tolist() == [2 ** 62, -2 ** 62, 512]
+    assert topk.whole_numbers([float("inf")], 1024) is None and topk.whole_numbers([None], 1024) is None
+
+
 def test_products_are_exact():
     big = np.array([[2 ** 40, 3], [1, -(2 ** 40)]])
     assert (topk.products(big, np.array([[2 ** 20 + 1, 5]])) == big @ np.array([[2 ** 20 + 1], [5]])).all()
