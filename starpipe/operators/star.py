@@ -46,6 +46,11 @@ class Lookup:
             F.col(c).alias(name) for c, name in self.take.items()
         ])
 
+    def rows(self) -> DataFrame:
+        """One row per key under names that are the same in every role, so that roles share a broadcast."""
+        taken = self.dim.select(F.col(self.key).alias("__key"), *[F.col(c).alias(f"__take_{i}") for i, c in enumerate(self.take)])
+        return one_row_per_key(taken, ["__key"])
+
 
 def measure(frames: Sequence[DataFrame]) -> list[tuple[int, int]]:
     """Rows and bytes of each frame, all in one job; strings count their own length."""
@@ -64,20 +69,21 @@ def measure(frames: Sequence[DataFrame]) -> list[tuple[int, int]]:
 def small_lookups(lookups: Sequence[Lookup]) -> list[Lookup]:
     """Those that fit a broadcast, smallest first and together; what is left over is shuffled.
 
-    A table used in several roles is measured once, but each role is broadcast.
+    What counts is what a broadcast holds: one row per key, and a table used in several roles once, as
+    its roles share one broadcast.
     """
     frames: dict[tuple, DataFrame] = {}
     for x in lookups:
-        frames.setdefault(x.source(), x.projection())
+        frames.setdefault(x.source(), x.rows())
     sizes = dict(zip(frames, measure(list(frames.values())))) if frames else {}
     rows = size = 0
-    small = []
-    for x in sorted(lookups, key=lambda x: sizes[x.source()][1]):
-        rows, size = rows + sizes[x.source()][0], size + sizes[x.source()][1]
+    small = set()
+    for source in sorted(sizes, key=lambda source: sizes[source][1]):
+        rows, size = rows + sizes[source][0], size + sizes[source][1]
         if rows > BROADCAST_ROWS or size > BROADCAST_BYTES:
             break
-        small.append(x)
-    return [x for x in lookups if x in small]
+        small.add(source)
+    return [x for x in lookups if x.source() in small]
 
 
 def key_sketches(fact: DataFrame, columns: Sequence[str], tracked: int) -> DataFrame:
@@ -212,10 +218,15 @@ def star_join(
     if any(x.others for x in frequent.values()):
         slot = F.monotonically_increasing_id() if from_files else F.xxhash64(*fact.columns)
         out = out.withColumn(_SLOT, slot)  # before any shuffle
-    for lookup in lookups:
+    # Exchanges come first and the widest lookup last, so that few attributes travel along.
+    moved = [x for x in lookups if x not in small and frequent[x.on].others]
+    for lookup in sorted(moved, key=lambda x: len(x.take)):
+        out = _merge_join(out, lookup, frequent[lookup.on])
+    for lookup in (x for x in lookups if x not in moved):
         if lookup in small:
-            dim = F.broadcast(one_row_per_key(lookup.projection(), ["__key"]))
-            out = out.join(dim, F.col(lookup.on) == F.col("__key"), "left").drop("__key")
+            named = [F.col(f"__take_{i}").alias(name) for i, name in enumerate(lookup.take.values())]
+            kept = out.columns
+            out = out.join(F.broadcast(lookup.rows()), F.col(lookup.on) == F.col("__key"), "left").select(*kept, *named)
         else:
             out = _merge_join(out, lookup, frequent[lookup.on])
-    return out.drop(_SLOT)
+    return out.select(*fact.columns, *[name for x in lookups for name in x.take.values()])
