@@ -175,7 +175,7 @@ def bench(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
 
 def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as metrics JSON text: known keys and two the bench table has no column for."""
-    return table(spark, sf_dir, "events").select(F.to_json(F.struct(
+    return spread_out(table(spark, sf_dir, "events")).select(F.to_json(F.struct(
         F.col("event_type").alias("step"), F.lit(2024).alias("year"), F.lit(1).alias("month"),
         F.col("event_id").alias("rows_in"), F.col("value").alias("wall_sec"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),

@@ -694,10 +694,10 @@ def reports_in_order(spark, sf_dir):
     walls = record_sink.bench_report(spark.read.parquet(path))
 
     def placed(report, name, *columns):
-        # Row ids of a sorted frame rise with its order; as places they are counted in one small task.
-        at = report.select(*columns, F.monotonically_increasing_id().alias("at"))
-        return at.select(F.lit(name).alias("report"), F.row_number().over(Window.orderBy("at")).alias("place"),
-                         F.concat_ws(".", *columns).alias("row"))
+        at = shared_folder(spark, name)
+        parquet_sink.write_parquet(report.select(*columns), at)
+        return parquet_sink.in_places(spark, at, "place").select(
+            F.lit(name).alias("report"), F.col("place").cast("int").alias("place"), F.concat_ws(".", *columns).alias("row"))
 
     return placed(rules, "rules", "step", "rule").unionByName(placed(walls, "steps", "step"))
 
