@@ -11,8 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A number with an optional fraction, which is cut off: "1", " -2 ", "1.0", "1.9", "-.5".
-_WHOLE = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
+# A number with an optional fraction, which is cut off: "1", " -2 ", "1.0", "1.9". No part of a pattern can give back
+# what it took, so that nothing is tried twice.
+_WHOLE = r"^\s*+[+-]?+\d++(?:\.\d*+)?+\s*+$"
+# Nothing but a fraction: "-.5".
+_FRACTION = r"^\s*+[+-]?+\.\d++\s*+$"
 # The starts of the other texts Spark's own casts accept.
 _STARTS = {
     "double": r"(?i)^\s*[+-]?(\.?\d|nan|inf)",
@@ -24,7 +27,7 @@ _STARTS = {
 
 def text_to_int(text: Column) -> Column:
     whole = F.substring_index(text, ".", 1)
-    return F.when(text.rlike(_WHOLE), F.when(whole.rlike(r"\d"), whole.try_cast("int")).otherwise(0))
+    return F.when(text.rlike(_WHOLE), whole.try_cast("int")).when(text.rlike(_FRACTION), 0)
 
 
 def tolerant_cast(column: Column, source: T.DataType, target: str) -> Column:
