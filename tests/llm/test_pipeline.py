@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from starpipe.llm import mixing
-from starpipe.llm.common import stored, table
+from starpipe.llm.common import BATCH_BYTES, SLICE_BYTES, python_tasks, stored, table
 from tests.llm import fixtures
 from tests.llm.test_operators import check_packing, pairs
 
@@ -87,3 +89,16 @@ def test_odd_and_empty_documents(spark):
         check_packing(docs)
 
 
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """One task reads 40 MB of text; no batch of it holds more than the bound and a row."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('x', 100000) AS text")
+    for bound, want in (("64m", str(SLICE_BYTES)), ("1GB", str(SLICE_BYTES)), ("1m", "1m"), (None, str(SLICE_BYTES))):
+        spark.conf.unset(BATCH_BYTES) if bound is None else spark.conf.set(BATCH_BYTES, bound)
+        python_tasks(spark)
+        assert spark.conf.get(BATCH_BYTES) == want
+    seen = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in seen) == 400 and max(r["bytes"] for r in seen) <= SLICE_BYTES + 200_000
