@@ -307,14 +307,18 @@ def star_join_broadcast(spark, sf_dir):
 
 @query
 def star_join_merge(spark, sf_dir):
-    """Stored first, as the keys of the fact are read before the join."""
-    rows = steps.wide_rows(_stored_silver(spark, sf_dir), frames.dictionaries(spark, sf_dir), "merge")
+    """Stored first, as the keys of the fact are read before the join; of a large fact only the wide rows stay."""
+    root, wide = shared_folder(spark, "silver"), shared_folder(spark, "wide")
+    silver = _stored_silver(spark, sf_dir, root, "zstd")
+    rows = steps.stored_wide_rows(silver, frames.dictionaries(spark, sf_dir), "merge", wide)
+    if files.folder_names(spark, wide):
+        files.remove_folder(spark, root)
     return frames.zoneless(rows)
 
 
-def _stored_silver(spark, sf_dir):
-    layout = Layout(shared_folder(spark, "silver"), "base")
-    parquet_sink.write_layer(frames.silver(spark, sf_dir, spread=True), layout, "silver", *MONTH)
+def _stored_silver(spark, sf_dir, root=None, codec="snappy"):
+    layout = Layout(root or shared_folder(spark, "silver"), "base")
+    parquet_sink.write_layer(frames.silver(spark, sf_dir, spread=True), layout, "silver", *MONTH, codec=codec)
     return layers.read_layer(spark, layout, "silver", *MONTH)
 
 

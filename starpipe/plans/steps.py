@@ -29,7 +29,7 @@ from starpipe.operators.star import Lookup, plan_star_join, star_join
 from starpipe.session import applied
 from starpipe.sinks.csv import Export, export_csv, export_name
 from starpipe.sinks.files import files_mib, folder_mib, part_files
-from starpipe.sinks.parquet import write_dictionary, write_layer, write_layer_in_turn
+from starpipe.sinks.parquet import write_dictionary, write_in_turn, write_layer, write_layer_in_turn
 from starpipe.sinks.records import append_rows, bench_rows, one_run, quality_rows
 from starpipe.sinks.warehouse import (
     LoadReport, MonthTable, analyze, load_month, open_months, refresh_dimension, stamped_schema,
@@ -228,6 +228,15 @@ def _wide_parts(
         yield parts, lambda part: kept.rows(join_keys(part))
 
 
+def stored_wide_rows(silver: DataFrame, dims: Mapping[str, DataFrame], strategy: str, folder: str) -> DataFrame:
+    """Wide rows of a silver layer; those of a large one that is exchanged are stored in `folder`, a part after the other."""
+    with _wide_parts(silver, dims, strategy) as (parts, wide):
+        if len(parts) == 1:
+            return wide(silver)
+        write_in_turn(silver.sparkSession, map(wide, parts), folder, codec="zstd")
+    return silver.sparkSession.read.parquet(folder)
+
+
 @_with_settings
 def to_wide(run: Run, overrides: dict[str, str] | None = None) -> StepRecord:
     """Silver decorated with all dimensions.
